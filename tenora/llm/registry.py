@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenora.llm import exact_dedup, pii, url_filter
+from tenora.llm import bpe, exact_dedup, packing, pii, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_pii_pseudonyms": pii.op2_pii_pseudonyms,
+        "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_token_files": token_files.op7_token_files,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
     }
 
 
