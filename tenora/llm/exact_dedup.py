@@ -51,17 +51,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests = staged(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), digest(F.col(text_col)).alias("digest")), "digests"
     )
+    rows = with_winner(digests, share)
+    return rows.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def with_winner(digests: DataFrame, share: int = 1024) -> DataFrame:
+    """Stored rows (doc_id, row, digest) with keep_id, keep_row and group_size of their digest.
+
+    Heavy digests are decided where they are read, the others by one shuffle.
+    """
     winners = staged(heavy_winners(digests, share), "winners")
-    tagged = digests.join(F.broadcast(winners), "digest", "left")
-    hot = tagged.where(F.col("group_size").isNotNull())
+    hot = digests.join(F.broadcast(winners), "digest")
     group = Window.partitionBy("digest")
     cold = (
         digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
         .withColumn("first", F.min(_order()).over(group))
         .select("digest", "doc_id", "row", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), F.count("*").over(group).alias("group_size"))
     )
-    rows = hot.select(*cold.columns).unionByName(cold)
-    return rows.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return hot.select(*cold.columns).unionByName(cold)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 1024) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenora.llm import bpe, exact_dedup, packing, pii, token_files, url_filter
+from tenora.llm import bpe, exact_dedup, jaccard_join, language_id, packing, pii, token_files, url_filter, vector_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,11 +14,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_pii_pseudonyms": pii.op2_pii_pseudonyms,
         "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
+        "op4_vector_components": vector_join.op4_vector_components,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_token_files": token_files.op7_token_files,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_language_id": language_id.op9_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
+    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op4_vector_components": vector_join.ORACLE_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
