@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenora.llm import bpe, exact_dedup, jaccard_join, language_id, packing, pii, token_files, url_filter, vector_join
+from tenora.llm import bpe, exact_dedup, jaccard_join, language_id, packing, pii, substring_dedup, token_files, url_filter, vector_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_files": token_files.op7_token_files,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_language_id": language_id.op9_language_id,
+        "op10_repeated_passages": substring_dedup.op10_repeated_passages,
     }
 
 
