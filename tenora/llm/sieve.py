@@ -18,9 +18,22 @@ def sieved(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     The bitmap (1 MB, broadcast) lets every wanted row pass, and some others; the exact semi-join that follows drops
     those. With very many keys it lets all pass, which costs a shuffle but changes no result.
     """
+    return _tested(rows, keys, name).where("__hit").drop("__hit").join(keys.select(name), name, "left_semi")
+
+
+def without(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` whose column ``name`` does not occur in ``keys``; null names stay. Rows that the bitmap clears are not shuffled."""
+    tested = _tested(rows, keys, name)
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    cleared = tested.where(~F.col("__hit")).select(*columns)
+    return cleared.unionByName(tested.where("__hit").select(*columns).join(keys.select(name), name, "left_anti").select(*columns))
+
+
+def _tested(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``__hit``: may the name be among the keys?"""
     at = _place(F.col(name)) + 1  # bitmap functions count from 1
     maps = keys.groupBy(F.bitmap_bucket_number(at).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
-    rows = rows.withColumn("__part", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "__part")
+    rows = rows.withColumn("__part", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "__part", "left").withColumn("__bit", F.bitmap_bit_position(at))
     byte = F.conv(F.hex(F.expr("substring(__bits, CAST(__bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    rows = rows.withColumn("__bit", F.bitmap_bit_position(at)).where(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1)
-    return rows.drop("__part", "__bits", "__bit").join(keys.select(name), name, "left_semi")
+    hit = F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False)) & F.col(name).isNotNull()
+    return rows.withColumn("__hit", hit).drop("__part", "__bits", "__bit")
