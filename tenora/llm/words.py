@@ -16,7 +16,7 @@ CONTROL = "\x1c\x1d\x1e\x1f"  # str.split() cuts at these, the vocabulary's patt
 
 
 class WordEncoder:
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # workers are forked, and each has one core
         from tokenizers import Tokenizer
 
@@ -45,8 +45,7 @@ class WordEncoder:
         for words in parts:
             if words:
                 unknown.update(words)
-        unknown.difference_update(known)
-        new = list(unknown)
+        new = list(unknown.difference(known))  # goes over the few new words, not over all that are known
         for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[word] = np.array(found.ids, "<u4").tobytes()
         return [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, parts, strict=True)]
