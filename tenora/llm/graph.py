@@ -1,7 +1,8 @@
-"""Connected components of an edge table, as DataFrame operations alone."""
+"""Connected components: of an edge table, as DataFrame operations alone, and of pairs within one task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +49,17 @@ def _follow(pointers: DataFrame, step: DataFrame) -> DataFrame:
 def _renamed(edges: DataFrame, step: DataFrame, end: str) -> DataFrame:
     over = step.select(F.col("node").alias("via"), F.col("up").alias("onward"))
     return edges.join(over, F.col(end) == F.col("via"), "left").withColumn(end, F.coalesce("onward", end)).drop("via", "onward")
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place that each of n places reaches over the pairs."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenora.llm.graph import components
+from tenora.llm.graph import components, forest
 from tenora.plans.staging import staged
 
 THRESHOLD = 0.95
@@ -108,20 +108,6 @@ def linked_pairs(spaces: Subspaces, b: int, x: np.ndarray, y: np.ndarray | None,
     return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest place that each of n places reaches over the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
