@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenora.llm.heavy import heavy_hitters
-from tenora.plans.staging import staged
+from tenora.plans.staging import fresh, staged
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -78,11 +78,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row of each is taken.
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), digest(F.col(text_col)).alias("digest"))
-    winners = staged(heavy_winners(staged(known, "digests"), share).select(F.col("digest").alias("__hot"), F.col("keep_id").alias("__keep")), "winners")
-    rows = docs.withColumn("__digest", digest(F.col(text_col))).join(F.broadcast(winners), F.col("__digest") == F.col("__hot"), "left")
-    rows = rows.where(F.col("__hot").isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")))
-    order = Window.partitionBy("__digest").orderBy(F.col(id_col).asc_nulls_last())
-    return rows.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, hot, keep, nth = (fresh(docs, c) for c in ("digest", "hot", "keep", "nth"))
+    winners = staged(heavy_winners(staged(known, "digests"), share).select(F.col("digest").alias(hot), F.col("keep_id").alias(keep)), "winners")
+    rows = docs.withColumn(own, digest(F.col(f"`{text_col}`"))).join(F.broadcast(winners), F.col(own) == F.col(hot), "left")
+    rows = rows.where(F.col(hot).isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col(keep)))
+    order = Window.partitionBy(own).orderBy(F.col(f"`{id_col}`").asc_nulls_last())
+    return rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

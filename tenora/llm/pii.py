@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenora.plans.staging import fresh
+
 KEY = "tenora-pseudonym-key-1"
 ROUNDS = 8
 
@@ -172,16 +174,16 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, found_
     empty; all other columns pass unchanged and every row is kept, repeated ones too. The text is cut at the matches
     of one pattern, so the work is linear in its length.
     """
-    text = F.col(f"`{text_col}`")
-    # a text without a digit pair or an at sign holds none of the formats
-    hits = F.when(text.rlike(r"[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    out = docs.withColumn("__hits", hits)
+    text, place = F.col(f"`{text_col}`"), fresh(docs, "hits")
+    found = F.col(place)
+    # a text without a digit or an at sign holds none of the formats
+    out = docs.withColumn(place, F.when(text.rlike(r"[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
     pieces = F.split(text, PATTERN, -1)
-    again = F.zip_with(pieces, F.transform(F.col("__hits"), lambda h: pseudonym(h, key)), lambda gap, h: F.concat(gap, F.coalesce(h, F.lit(""))))
-    out = out.withColumn(text_col, F.when(F.size("__hits") > 0, F.array_join(again, "")).otherwise(text))
+    again = F.zip_with(pieces, F.transform(found, lambda h: pseudonym(h, key)), lambda gap, h: F.concat(gap, F.coalesce(h, F.lit(""))))
+    out = out.withColumn(text_col, F.when(F.size(found) > 0, F.array_join(again, "")).otherwise(text))
     if found_col:
-        out = out.withColumn(found_col, F.coalesce(F.filter(F.transform(F.col("__hits"), kind_of), lambda k: k.isNotNull()), F.array().cast("array<string>")))
-    return out.drop("__hits")
+        out = out.withColumn(found_col, F.coalesce(F.filter(F.transform(found, kind_of), lambda k: k.isNotNull()), F.array().cast("array<string>")))
+    return out.drop(place)
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

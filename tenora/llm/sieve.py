@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenora.plans.staging import fresh
+
 BITS = 1 << 23  # 256 bitmaps of 4 KB, whatever the data
 
 
@@ -18,22 +20,27 @@ def sieved(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     The bitmap (1 MB, broadcast) lets every wanted row pass, and some others; the exact semi-join that follows drops
     those. With very many keys it lets all pass, which costs a shuffle but changes no result.
     """
-    return _tested(rows, keys, name).where("__hit").drop("__hit").join(keys.select(name), name, "left_semi")
+    tested, hit = _tested(rows, keys, name)
+    return tested.where(hit).join(keys.select(name), name, "left_semi").select(*_columns(rows))
 
 
 def without(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """``rows`` whose column ``name`` does not occur in ``keys``; null names stay. Rows that the bitmap clears are not shuffled."""
-    tested = _tested(rows, keys, name)
-    columns = [F.col(f"`{c}`") for c in rows.columns]
-    cleared = tested.where(~F.col("__hit")).select(*columns)
-    return cleared.unionByName(tested.where("__hit").select(*columns).join(keys.select(name), name, "left_anti").select(*columns))
+    tested, hit = _tested(rows, keys, name)
+    cleared = tested.where(~hit).select(*_columns(rows))
+    return cleared.unionByName(tested.where(hit).select(*_columns(rows)).join(keys.select(name), name, "left_anti").select(*_columns(rows)))
+
+
+def _columns(rows: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in rows.columns]
 
 
-def _tested(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """``rows`` with ``__hit``: may the name be among the keys?"""
+def _tested(rows: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    """``rows`` joined with their bitmap, and the test: may the name be among the keys?"""
+    part, bits = fresh(rows, "part"), fresh(rows, "bits")
     at = _place(F.col(name)) + 1  # bitmap functions count from 1
-    maps = keys.groupBy(F.bitmap_bucket_number(at).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
-    rows = rows.withColumn("__part", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "__part", "left").withColumn("__bit", F.bitmap_bit_position(at))
-    byte = F.conv(F.hex(F.expr("substring(__bits, CAST(__bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False)) & F.col(name).isNotNull()
-    return rows.withColumn("__hit", hit).drop("__part", "__bits", "__bit")
+    maps = keys.groupBy(F.bitmap_bucket_number(at).alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    tested = rows.join(F.broadcast(maps), F.bitmap_bucket_number(at) == F.col(part), "left")
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return tested, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)) & F.col(name).isNotNull()
