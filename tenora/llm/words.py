@@ -16,7 +16,7 @@ CONTROL = "\x1c\x1d\x1e\x1f"  # str.split() cuts at these, the vocabulary's patt
 
 
 class WordEncoder:
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 1_600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # workers are forked, and each has one core
         from tokenizers import Tokenizer
 
