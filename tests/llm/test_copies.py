@@ -193,6 +193,26 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(documents(spark, [])).count() == 0
 
 
+def test_changed_passages_are_verified():
+    rng = random.Random(17)
+    grams = lambda w: [hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)]
+    tried = 0
+    for n in (50, 55, 60, 80, 100):
+        base = prose(rng, n + 1).split()
+        for at in range(n):
+            forms = (base[:n], base[:at] + ["new"] + base[at + 1 : n]), (base[:n], base[:at] + ["new"] + base[at:n]), (base[: n + 1], base[:at] + base[at + 1 : n + 1])
+            for one, two in forms:
+                a, b = set(grams(one)), set(grams(two))
+                if 100 * len(a & b) < 75 * len(a | b):
+                    continue
+                x, y = (np.array(grams(prose(rng, 60).split() + part + prose(rng, 60).split())) for part in (one, two))
+                found = list(substring_dedup.passages(x, y, 0, 46, 75))
+                assert found and all(substring_dedup.similar(x[i:j], y[k:m], 75) and min(j - i, m - k) >= 46 for i, j, k, m in found), (n, at)
+                assert max(j - i for i, j, _, _ in found) >= n - 4 - 6
+                tried += 1
+    assert tried > 800
+
+
 def test_compact_windows_are_minima():
     rows = np.random.default_rng(2).integers(0, 1 << 40, 500).astype(np.uint64)
     for span in (1, 2, 7, 46, 64):
