@@ -213,6 +213,47 @@ def test_changed_passages_are_verified():
     assert tried > 800
 
 
+def test_near_passages_are_all_found(spark):
+    rng = random.Random(23)
+    rows, i = [], 0
+    for n in (50, 50, 52, 55, 60, 75, 100):
+        for at in range(2, n - 2, 5):
+            one = prose(rng, n).split()
+            two = one[:at] + rng.choice([["new"], ["new", one[at]], []]) + one[at + 1 :]
+            a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (one, two))
+            if len(two) < 50 or 100 * len(a & b) < 75 * len(a | b):
+                continue
+            rows += [(i, f"{prose(rng, 70)} {' '.join(one)} {prose(rng, 70)}"), (i + 1, f"{prose(rng, 30)} {' '.join(two)} {prose(rng, 90)}")]
+            i += 2
+    found = {r["doc_id"] for r in substring_dedup.repeated_passages(documents(spark, rows)).collect()}
+    assert i > 120 and found == set(range(i))
+
+
+def test_similar_passages_share_anchors():
+    assert substring_dedup.window_width(46, 75) == 7 and substring_dedup.sure_anchors(46, 75, 7) == 4
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        one = rng.integers(0, 1 << 62, 46 + int(rng.integers(0, 60))).astype(np.uint64)
+        two = one.copy()
+        at = int(rng.integers(0, len(one) - 5))
+        two[at : at + 5] = rng.integers(0, 1 << 62, 5).astype(np.uint64)
+        keys = [set(substring_dedup.signatures(np.array([len(x)]), x, 46, 7)[2].tolist()) for x in (one, two)]
+        assert len(keys[0] & keys[1]) >= 4
+
+
+def test_passages_around_common_quotes(spark):
+    rng = random.Random(29)
+    rows = []
+    quotes = [prose(rng, 30) for _ in range(3)]
+    for q, quote in enumerate(quotes):  # smaller ids hold each quote alone
+        rows += [(100 * q + k, f"{prose(rng, 60)} {quote} {prose(rng, 60)}") for k in range(40 if q else 90)]
+    for k in range(3):
+        passage = f"{quotes[k]} {quotes[(k + 1) % 3]}"  # quotes only, in an order that two documents share
+        rows += [(1000 + 2 * k + c, f"{prose(rng, 60)} {passage} {prose(rng, 60)}") for c in (0, 1)]
+    out = {r["doc_id"]: (r["first_word"], r["last_word"], r["source_id"]) for r in substring_dedup.repeated_passages(documents(spark, rows)).collect()}
+    assert out == {1000 + 2 * k + c: (60, 119, 1000 + 2 * k) for k in range(3) for c in (0, 1)}
+
+
 def test_compact_windows_are_minima():
     rows = np.random.default_rng(2).integers(0, 1 << 40, 500).astype(np.uint64)
     for span in (1, 2, 7, 46, 64):
