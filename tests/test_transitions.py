@@ -175,3 +175,13 @@ def test_sign_in_stream_and_log(spark, tmp_path):
     assert tables.read_request_log(spark, f"{tmp_path}/log").count() == 2
     _run(streams.error_rates(tables.read_request_log(spark, f"{tmp_path}/log", streaming=True)), "rates")
     assert [r["n_error"] for r in spark.sql("SELECT * FROM rates").collect()] == [1]
+
+
+def test_vector_queries_in_blocks(spark):
+    from tenora.operators.retrieval import vector_top_k
+
+    rows = [(i, [float((i * 7 + j * j * 3) % 11 - 5) for j in range(4)]) for i in range(60)] + [(60, [0.0] * 4)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.withColumnRenamed("vec_id", "query_id")
+    whole = sorted(map(tuple, vector_top_k(q, v, 3).collect()))
+    assert len(whole) == 180 and sorted(map(tuple, vector_top_k(q, v, 3, block=25).collect())) == whole
