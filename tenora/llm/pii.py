@@ -20,14 +20,18 @@ ROUNDS = 8
 
 # The formats looked for.
 EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
-PHONE = r"\+\d{1,3} ?\(\d{2,4}\) ?\d{3}[ -]?\d{4}|\+\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4}|\(\d{3}\) ?\d{3}-\d{4}"
+PHONE = r"\+\d{1,3} ?\(\d{2,4}\) ?\d{3}[ -]?\d{4}|\+\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\+[1-9]\d{7,14}"
 CARD = r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
-DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}"
-
-#: Alternatives in order of precedence. No match begins or ends inside a longer run of letters or digits.
-PATTERN = rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL})(?![A-Za-z0-9@-])|(?<![\w.+(/-])(?:{PHONE}|{SSN}|{IPV4}|{DATE}|{CARD})(?![\w@/-]|\.\d)"
+ISO_DATE, SLASH_DATE = r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}"
+DATE = rf"{ISO_DATE}|{SLASH_DATE}"
+
+#: Alternatives in order of precedence. No match begins or ends inside a longer run of letters or digits, but a time may follow a
+#: date; a date with slashes does not begin or end at another slash.
+_AFTER = r"(?![\w@-]|\.\d)"
+_REST = rf"(?:{PHONE}|{SSN}|{IPV4}|{CARD}){_AFTER}|{ISO_DATE}(?:(?=[Tt]\d{{2}}:)|{_AFTER})|(?<!/){SLASH_DATE}(?!/){_AFTER}"
+PATTERN = rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL})(?![A-Za-z0-9@-])|(?<![\w.+-])(?:{_REST})"
 KINDS = ("email", "phone", "card", "ssn", "ipv4", "date")
 
 FIRST_DAY, DAYS, DAYS_LEFT = "1900-01-01", 73049, 17  # 200 years of days, 17 * 4297
@@ -95,7 +99,8 @@ def _card(x: Column, key: str) -> Column:
 
 def _phone(x: Column, key: str) -> Column:
     """The country code stays, all other digits are permuted."""
-    code = F.regexp_extract(x, r"^\+\d{1,3}", 0)
+    # without a separator, codes 1 and 7 have one digit and of others two are taken
+    code = F.regexp_extract(x, r"^\+(?:\d{1,3}(?=[ (-])|[17]|\d{2})", 0)
     rest = F.substring(x, F.length(code) + 1, F.length(x))
     return F.concat(code, into_format(rest, permuted_digits(_digits(rest), "phone", key)))
 
@@ -120,13 +125,38 @@ def _day(x: Column) -> Column:
     return F.when(n.between(0, DAYS - 1), n)
 
 
+def _day_first(x: Column) -> Column:
+    """Is this a date that can only be read day/month/year, in the years that are permuted?"""
+    day = F.try_to_timestamp(F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 4, 2), F.substring(x, 1, 2)), F.lit("yyyy-MM-dd"))
+    return x.contains("/") & (F.substring(x, 1, 2) > "12") & F.coalesce(F.year(day).between(1900, 2099), F.lit(False))
+
+
+def _day_first_date(x: Column, key: str) -> Column:
+    """Another such date. Days 13 to 28, 29 and 30, 31, and the 29th of February are permuted each among themselves."""
+    d, m, y = (F.substring(x, at, n).cast("long") for at, n in ((1, 2), (4, 2), (7, 4)))
+    long = F.array(*[F.lit(i) for i in (1, 3, 5, 7, 8, 10, 12)])
+    most = F.array(*[F.lit(i) for i in (1, *range(3, 13))])
+    place = lambda months: F.array_position(months, m.cast("int")) - 1
+    leap = (d == 29) & (m == 2)
+    pick = lambda early, february, last, others: F.when(d <= 28, early).when(leap, february).when(d == 31, last).otherwise(others)
+    left = pick((y - 1900) * 12 + m - 1, (y - 1904) / 4, y - 1900, y - 1900).cast("long")
+    right = pick(d - 13, F.lit(0), place(long), place(most) * 2 + d - 29).cast("long")
+    sizes = pick(F.lit(2400), F.lit(49), F.lit(200), F.lit(200)), pick(F.lit(16), F.lit(1), F.lit(7), F.lit(22))
+    a, b = _feistel(left, right, sizes, F.concat(F.lit("day-first"), pick(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d"))), key, 12)
+    year = pick(F.floor(a / 12) + 1900, a * 4 + 1904, a + 1900, a + 1900)
+    month = pick(a % 12 + 1, F.lit(2), F.get(long, b.cast("int")), F.get(most, F.floor(b / 2).cast("int")))
+    day = pick(b + 13, F.lit(29), F.lit(31), b % 2 + 29)
+    two = lambda n: F.lpad(n.cast("long").cast("string"), 2, "0")
+    return F.concat(two(day), F.lit("/"), two(month), F.lit("/"), year.cast("long").cast("string"))
+
+
 def _date(x: Column, key: str) -> Column:
-    """Another day of 1900 to 2099, written as the first was (year-month-day or month/day/year)."""
+    """Another day of 1900 to 2099, written as the first was (year-month-day, month/day/year or, past the 12th, day/month/year)."""
     n = _day(x)
     wide = DAYS // DAYS_LEFT
     a, b = _feistel(F.floor(n / wide), n % wide, (F.lit(DAYS_LEFT), F.lit(wide)), "date", key, 12)
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), (a * wide + b).cast("int"))
-    return F.when(x.contains("/"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    return F.when(_day_first(x), _day_first_date(x, key)).when(x.contains("/"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
 
 
 def _email(x: Column, key: str) -> Column:
@@ -148,7 +178,7 @@ def kind_of(x: Column) -> Column:
         .when(x.rlike(rf"^(?:{PHONE})$"), "phone")
         .when(x.rlike(rf"^{SSN}$"), F.when(~F.substring(x, 1, 3).isin("000", "666") & ~x.startswith("9") & (F.substring(x, 5, 2) != "00") & (F.substring(x, 8, 4) != "0000"), "ssn"))
         .when(x.rlike(rf"^{IPV4}$"), F.when(octets, "ipv4"))
-        .when(x.rlike(rf"^(?:{DATE})$"), F.when(_day(x).isNotNull(), "date"))
+        .when(x.rlike(rf"^(?:{DATE})$"), F.when(_day(x).isNotNull() | _day_first(x), "date"))
         .when(F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0) & (F.length(F.replace(d, F.lit("0"), F.lit(""))) > 0), "card")
     )
 

@@ -1,5 +1,6 @@
 """Personal data, tokens, files, packing, languages, urls and the pipeline."""
 
+import datetime
 import io
 import random
 import re
@@ -318,3 +319,21 @@ def test_pipeline_stages(spark, sf_dir, library):
         left = got
     n = check_packing(docs.collect(), library, sorted(left.items()))
     assert n <= -(-sum(r["length"] for r in docs.collect()) // 2048) + 2
+
+
+def test_personal_data_in_other_places(spark):
+    values = {"phone": ["555-123-4567", "+15551234567", "+447946095812", "+1 (654) 555-4136"], "ssn": ["123-45-6789"], "ipv4": ["192.168.0.1", "10.1.2.3"], "date": ["1980-02-29", "12/25/2020", "25/12/2020", "29/02/2020", "31/01/1999", "30/11/2001"], "card": ["4539578763621486"]}
+    forms = ["{}", "({})", "see {}.", "[{}]"]
+    rows = [(kind, v, f.format(v)) for kind, vs in values.items() for v in vs for f in forms]
+    rows += [(kind, v, f"http://{v}/x") for kind in ("ipv4", "ssn", "card") for v in values[kind]] + [("ipv4", "10.1.2.3", "10.1.2.3/24"), ("date", "2021-03-04", "2021-03-04T10:00:00"), ("date", "2021-03-04", "http://a.example/2021-03-04/x")]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "kind string, value string, text string"), found_col="found").collect()
+    shape = lambda t: re.sub(r"\d+" if "." in t else r"\d", "0", t)
+    for (kind, value, text), r in zip(rows, out, strict=True):
+        assert r["found"] == [kind] and value not in r["text"] and shape(r["text"]) == shape(text), (text, r["text"])
+    days = [f"{d:02d}/{m:02d}/{y}" for y in (1900, 1904, 2000, 2020, 2099) for m in range(1, 13) for d in range(13, 32)]
+    got = pii.pseudonymise(spark.createDataFrame([(d,) for d in days], "text string"), found_col="found").collect()
+    real = [(d, r["text"]) for d, r in zip(days, got, strict=True) if r["found"]]
+    assert len(real) == sum(366 - 144 if y in (1904, 2000, 2020) else 365 - 144 for y in (1900, 1904, 2000, 2020, 2099)) == len({t for _, t in real})
+    for _, t in real:
+        assert int(t[:2]) > 12 and datetime.date(int(t[6:]), int(t[3:5]), int(t[:2])).year in range(1900, 2100)
+    assert pii.pseudonymise(spark.createDataFrame([("1/12/25/2020 12/25/2020/3 7123-45-6789 1.10.1.2.3",)], "text string")).first()["text"] == "1/12/25/2020 12/25/2020/3 7123-45-6789 1.10.1.2.3"
