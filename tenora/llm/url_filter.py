@@ -73,12 +73,33 @@ def redirect_target(html: Column) -> Column:
     return F.nullif(F.regexp_extract(tag, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1), F.lit(""))
 
 
+def resolved(target: Column, url: Column) -> Column:
+    """What ``target`` names on the page ``url``, with ``&amp;`` decoded; null for other schemes, for places in the page and without a base."""
+    t = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    scheme = F.regexp_extract(url, r"^(?s:(.*?))://", 1)
+    site = F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*", 0)
+    whole = F.when(t.startswith("/"), t).when(t.startswith("?"), F.concat(path(url), t)).otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract(path(url), r"(?s)^.*/", 0), F.lit("")), F.lit("/")), t))
+    here = F.regexp_extract(whole, r"^[^?#]*", 0)
+    steps = F.slice(F.split(here, "/"), 2, 1 << 20)
+    # a dot step leaves the step before it, or none at the end, open: /a/b/.. is /a/
+    open_ = F.when(F.element_at(F.split(here, "/"), -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda s, x: F.when(x == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).when(x == ".", s).otherwise(F.concat(s, F.array(x))))
+    plain = F.when(F.size(kept) > 0, F.concat(F.lit("/"), F.array_join(kept, "/"), open_)).otherwise(F.lit("/"))
+    plain = F.when(here.rlike(r"/\.\.?(/|$)"), plain).otherwise(here)
+    return (
+        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^#") | (site == ""), F.lit(None).cast("string"))
+        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+        .otherwise(F.concat(site, plain, F.substring(whole, F.length(here) + 1, F.length(whole))))
+    )
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """Edges (src, dst) between a page's url and the absolute urls that its html names as canonical or redirects to."""
+    """Edges (src, dst) between a page's url and the urls, made absolute, that its html names as canonical or redirects to."""
     has = F.lower("html")
     linked = pages.where(F.col("url").isNotNull() & (has.contains("canonical") | has.contains("refresh")))
     named = linked.select(F.col("url").alias("src"), F.explode(F.array(canonical_link(F.col("html")), redirect_target(F.col("html")))).alias("dst"))
-    return named.where(F.col("dst").contains("://"))
+    return named.withColumn("dst", resolved(F.col("dst"), F.col("src"))).where("dst IS NOT NULL")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame | None = None) -> DataFrame:

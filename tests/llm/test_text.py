@@ -337,3 +337,17 @@ def test_personal_data_in_other_places(spark):
     for _, t in real:
         assert int(t[:2]) > 12 and datetime.date(int(t[6:]), int(t[3:5]), int(t[:2])).year in range(1900, 2100)
     assert pii.pseudonymise(spark.createDataFrame([("1/12/25/2020 12/25/2020/3 7123-45-6789 1.10.1.2.3",)], "text string")).first()["text"] == "1/12/25/2020 12/25/2020/3 7123-45-6789 1.10.1.2.3"
+
+
+def test_relative_aliases(spark):
+    base = "http://x.example/a/b?q#f"
+    want = {
+        "/fr/x": "http://x.example/fr/x", "//x.net/fr/1": "http://x.net/fr/1", "c": "http://x.example/a/c", "./c?u=1": "http://x.example/a/c?u=1", "../../c/../d/": "http://x.example/d/", "?p=2": "http://x.example/a/b?p=2",
+        "https://y.net/?a=1&amp;b=2": "https://y.net/?a=1&b=2", "/r?to=http://z.net/": "http://x.example/r?to=http://z.net/", "mailto:a@b.net": None, "#top": None, "..": "http://x.example/", "c/.": "http://x.example/a/c/",
+    }
+    rows = spark.createDataFrame([(base, t) for t in want], "url string, target string")
+    assert {r["target"]: r["to"] for r in rows.withColumn("to", url_filter.resolved(F.col("target"), F.col("url"))).collect()} == want
+    assert spark.createDataFrame([("http://x.net", "c")], "u string, t string").select(url_filter.resolved(F.col("t"), F.col("u"))).first()[0] == "http://x.net/c"
+    pages = [(1, "http://a.org/x", '<link rel="canonical" href="//b.net/fr/1">'), (2, "http://a.org/y", '<meta http-equiv="refresh" content="0; url=/x">'), (3, "http://a.org/z", ""), (4, "nowhere", '<link rel="canonical" href="/fr/1">')]
+    out = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in out} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
