@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
-A staged table is an ordinary Parquet directory below ``spark.checkpoint.dir``.
-Writing it cuts the lineage, and a lost executor costs only a reread.
+A staged table is an ordinary Parquet directory below ``spark.checkpoint.dir``, in a folder of its application.
+Writing it cuts the lineage, and a lost executor costs only a reread. Results are lazy and read their staged tables, so these stay
+until :func:`clean` is called.
 """
 
 from __future__ import annotations
@@ -9,16 +10,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none."""
+    """The cluster's shared folder; one of our own only in local mode, where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-tenora-")
@@ -27,7 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path below the shared folder that no other call returns."""
-    return f"{shared_dir(spark)}/tenora/{tag}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tenora/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all staged tables of this application. Call it when every result has been written: results read them."""
+    uri = _folder(spark)
+    system, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+    if system.get_file_info(path).type != fs.FileType.NotFound:
+        system.delete_dir(path)
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
