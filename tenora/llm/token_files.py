@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tenora.llm.words import word_encoder
+from tenora.llm.words import sliced, word_encoder
 from tenora.plans.staging import new_path, staged
 
 # Fixed values of the seekable format.
@@ -154,7 +154,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     Returns the files: part, path, n_docs, n_tokens, in order of part. Texts are dealt by ranges of doc_id once and encoded
     where they are written. A file's name is unique for each attempt, and only names that the finished tasks report
-    are used, so repeated tasks do no harm. Null ids come first, null texts count as empty.
+    are used, so repeated tasks do no harm. Null ids come first, null texts count as empty, rows of one id stand in the
+    order of their texts, repeated rows are all written, and an empty table gives no file.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -168,8 +169,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         out = writer = None
         path = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.ztok"
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
+            for piece in sliced(batch, 1):
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
                     if writer is None:
                         system.create_dir(base, recursive=True)
@@ -181,7 +181,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(writer.ids)], "n_tokens": [sum(writer.lengths)]})
 
-    dealt = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     return staged(dealt.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "token-files")
 
 
