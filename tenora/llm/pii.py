@@ -8,6 +8,7 @@ the executors.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 
 from tenora.plans.staging import fresh
 
-KEY = "tenora-pseudonym-key-1"
+KEY_SETTING = "spark.tenora.pseudonym.key"
 ROUNDS = 8
+_OWN_KEYS: dict[str, str] = {}
 
 # The formats looked for.
-EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
+EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}"  # 127 labels at most
 PHONE = r"\+\d{1,3} ?\(\d{2,4}\) ?\d{3}[ -]?\d{4}|\+\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\+[1-9]\d{7,14}"
 CARD = r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}"
 SSN = r"\d{3}-\d{2}-\d{4}"
@@ -37,29 +39,31 @@ KINDS = ("email", "phone", "card", "ssn", "ipv4", "date")
 FIRST_DAY, DAYS, DAYS_LEFT = "1900-01-01", 73049, 17  # 200 years of days, 17 * 4297
 
 
-def _draw(key: str, tweak: Column | str, i: int, half: Column) -> Column:
-    """A keyed 60-bit number from one half of a Feistel state."""
-    label = tweak if isinstance(tweak, Column) else F.lit(tweak)
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(f"{key}|{i}"), label, half.cast("string")), 256), 1, 15), 16, 10).cast("long")
+def session_key(spark: SparkSession) -> str:
+    """The secret key of the session's setting KEY_SETTING; without one, a random key that lasts as long as the application.
+
+    Whoever knows the key can undo the pseudonyms, so none stands in the code. With a random key, equal values are linked
+    within one application and not beyond.
+    """
+    named = spark.conf.get(KEY_SETTING, None)
+    return named or _OWN_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
 
 
 def _feistel(left: Column, right: Column, sizes: tuple[Column, Column], tweak: Column | str, key: str, rounds: int = ROUNDS) -> tuple[Column, Column]:
-    """Permute pairs (left < sizes[0], right < sizes[1]): each round adds a keyed number, drawn from one half, to the other.
+    """Permute pairs (left < sizes[0], right < sizes[1]): each round adds a keyed 60-bit number, drawn from one half, to the other."""
+    label = tweak if isinstance(tweak, Column) else F.lit(tweak)
 
-    The state passes through one-element arrays, so that each round's expression is evaluated once.
-    """
-    def turn(i: int) -> Callable[[Column], Column]:
-        if i % 2:
-            return lambda s: F.struct(s["a"].alias("a"), F.pmod(s["b"] + _draw(key, tweak, i, s["a"]), sizes[1]).alias("b"))
-        return lambda s: F.struct(F.pmod(s["a"] + _draw(key, tweak, i, s["b"]), sizes[0]).alias("a"), s["b"].alias("b"))
+    def turn(s: Column, i: Column) -> Column:
+        odd = i % 2 == 1
+        half = F.when(odd, s["a"]).otherwise(s["b"]).cast("string")
+        draw = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), i.cast("string"), label, half), 256), 1, 15), 16, 10).cast("long")
+        return F.when(odd, F.struct(s["a"].alias("a"), F.pmod(s["b"] + draw, sizes[1].cast("long")).alias("b"))).otherwise(F.struct(F.pmod(s["a"] + draw, sizes[0].cast("long")).alias("a"), s["b"].alias("b")))
 
-    state = F.array(F.struct(left.cast("long").alias("a"), right.cast("long").alias("b")))
-    for i in range(rounds):
-        state = F.transform(state, turn(i))
-    return state[0]["a"], state[0]["b"]
+    state = F.aggregate(F.array(*[F.lit(i) for i in range(rounds)]), F.struct(left.cast("long").alias("a"), right.cast("long").alias("b")), turn)
+    return state["a"], state["b"]
 
 
-def permuted_digits(digits: Column, tweak: str, key: str = KEY) -> Column:
+def permuted_digits(digits: Column, tweak: str, key: str) -> Column:
     """A keyed permutation of the digit strings of each length, up to 30 digits; one digit is shifted."""
     n = F.length(digits)
     low = F.floor(n / 2).cast("int")
@@ -106,7 +110,12 @@ def _phone(x: Column, key: str) -> Column:
 
 
 def _ssn(x: Column, key: str) -> Column:
-    return into_format(x, permuted_digits(_digits(x), "ssn", key))
+    """A permutation of the valid numbers: areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999."""
+    area, group, serial = (F.substring(x, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    place = area - F.when(area > 666, 2).otherwise(1)
+    a, b = _feistel(place, (group - 1) * 9999 + serial - 1, (F.lit(898), F.lit(99 * 9999)), "ssn", key)
+    padded = lambda n, k: F.lpad(n.cast("long").cast("string"), k, "0")
+    return F.concat_ws("-", padded(a + F.when(a >= 665, 2).otherwise(1), 3), padded(F.floor(b / 9999) + 1, 2), padded(b % 9999 + 1, 4))
 
 
 def _ipv4(x: Column, key: str) -> Column:
@@ -183,9 +192,8 @@ def kind_of(x: Column) -> Column:
     )
 
 
-def pseudonym(x: Column, key: str = KEY) -> Column:
-    """What stands for a candidate; the candidate itself if it does not validate."""
-    kind = kind_of(x)
+def pseudonym(x: Column, kind: Column, key: str) -> Column:
+    """What stands for a candidate of a kind; the candidate itself if it is of none."""
     return (
         F.when(kind == "email", _email(x, key))
         .when(kind == "phone", _phone(x, key))
@@ -197,23 +205,27 @@ def pseudonym(x: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, found_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None, found_col: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced; ``found_col``, if named, lists what was found by kind.
 
     ``found_col`` is an array of kinds in order of place, empty where there is none. Null texts stay null, empty ones
     empty; all other columns pass unchanged and every row is kept, repeated ones too. The text is cut at the matches
-    of one pattern, so the work is linear in its length.
+    of one pattern, so the work is linear in its length. ``key`` is the session's (:func:`session_key`) unless given. An
+    empty table gives an empty result.
     """
+    key = key or session_key(docs.sparkSession)
     text, place = F.col(f"`{text_col}`"), fresh(docs, "hits")
     found = F.col(place)
     # a text without a digit or an at sign holds none of the formats
     out = docs.withColumn(place, F.when(text.rlike(r"[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
     pieces = F.split(text, PATTERN, -1)
-    again = F.zip_with(pieces, F.transform(found, lambda h: pseudonym(h, key)), lambda gap, h: F.concat(gap, F.coalesce(h, F.lit(""))))
+    kinds = fresh(docs, "kinds")
+    out = out.withColumn(kinds, F.transform(found, kind_of))
+    again = F.zip_with(pieces, F.zip_with(found, F.col(kinds), lambda h, k: pseudonym(h, k, key)), lambda gap, h: F.concat(gap, F.coalesce(h, F.lit(""))))
     out = out.withColumn(text_col, F.when(F.size(found) > 0, F.array_join(again, "")).otherwise(text))
     if found_col:
-        out = out.withColumn(found_col, F.coalesce(F.filter(F.transform(found, kind_of), lambda k: k.isNotNull()), F.array().cast("array<string>")))
-    return out.drop(place)
+        out = out.withColumn(found_col, F.coalesce(F.filter(kinds, lambda k: k.isNotNull()), F.array().cast("array<string>")))
+    return out.drop(place, kinds)
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
