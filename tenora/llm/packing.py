@@ -2,28 +2,32 @@
 
 Pieces are dealt into blocks of some thousands by hash. For each block, several islands evolve packings apart from each
 other: crossover injects whole well-filled bins of one parent into another, bins that hold any of the injected
-pieces are dissolved, and their displaced pieces are put back by best fit. Then each island's elite migrates
-to the next island and all evolve again. The best packing of each block is taken. No task holds more than a block.
+pieces are dissolved, displaced pieces are traded for shorter ones where that fills a bin, and the rest is put back by best fit.
+After each round an island's elite migrates to the next island and all evolve again. The best packing of each block is taken. No task
+holds more than a block.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenora.llm.words import word_encoder
-from tenora.plans.staging import staged
+from tenora.llm.words import sliced, word_encoder
+from tenora.plans.staging import fresh, staged
 
 CAPACITY = 2048
 BLOCK = 8192
-ISLANDS = 2
+ISLANDS = 3
 POPULATION = 4
-GENERATIONS = 3
+GENERATIONS = 6  # of every island in a round
+ROUNDS = 3  # elites migrate between them
 
 
 def best_fit(lengths: np.ndarray, order: np.ndarray, bin_of: np.ndarray, space: list[int], capacity: int) -> None:
@@ -77,16 +81,39 @@ def packed(lengths: np.ndarray, order: np.ndarray, capacity: int) -> Packing:
     return Packing(bin_of, lengths, capacity)
 
 
+def swapped(lengths: np.ndarray, displaced: np.ndarray, bin_of: np.ndarray, space: list[int]) -> np.ndarray:
+    """Trade single pieces of bins for longer displaced ones that still fit; returns what is displaced then.
+
+    Bins become fuller and what is left over becomes shorter, so that it finds room more easily.
+    """
+    out = sorted(displaced.tolist(), key=lengths.__getitem__)
+    sizes = [int(lengths[i]) for i in out]
+    placed = np.flatnonzero(bin_of >= 0)
+    gaps = np.array(space)[bin_of[placed]]
+    for i in placed[(gaps > 0) & (lengths[placed] < sizes[-1])].tolist() if sizes else ():
+        b, own = bin_of[i], int(lengths[i])
+        at = bisect_right(sizes, own + space[b]) - 1
+        if at >= 0 and sizes[at] > own:
+            space[b] -= sizes[at] - own
+            bin_of[out[at]], bin_of[i] = b, -1
+            del sizes[at], out[at]
+            at = bisect_right(sizes, own)
+            sizes.insert(at, own)
+            out.insert(at, i)
+    return np.array(out, np.int64)
+
+
 def crossed(a: Packing, b: Packing, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
-    """``a`` with some of the fullest bins of ``b`` injected, its clashing bins dissolved, and the displaced put back."""
+    """``a`` with some of the fullest bins of ``b`` injected, its clashing bins dissolved, and the displaced put back by best fit."""
     full = np.argsort(-b.fill, kind="stable")[: max(1, b.bins // 2)]
     injected = np.zeros(b.bins, bool)
-    injected[rng.choice(full, max(1, len(full) // 3), replace=False)] = True
+    injected[rng.choice(full, max(1, len(full) // int(rng.integers(2, 9))), replace=False)] = True
     taken = injected[b.bin_of]
     clash = np.zeros(a.bins, bool)
     clash[a.bin_of[taken]] = True
-    # the emptiest bins are dissolved too
+    # the emptiest bins are dissolved too, and a few others
     clash[np.argsort(a.fill, kind="stable")[: max(1, a.bins // 50)]] = True
+    clash[rng.integers(a.bins, size=max(1, a.bins // 50))] = True
     displaced = np.flatnonzero(clash[a.bin_of] & ~taken)
     bin_of = np.where(taken, b.bin_of + a.bins, a.bin_of).astype(np.int64)
     bin_of[displaced] = -1
@@ -94,6 +121,7 @@ def crossed(a: Packing, b: Packing, lengths: np.ndarray, capacity: int, rng: np.
     names, again = np.unique(bin_of[stay], return_inverse=True)
     bin_of[stay] = again
     space = (capacity - np.bincount(again, lengths[stay], len(names)).astype(np.int64)).tolist()
+    displaced = swapped(lengths, displaced, bin_of, space)
     best_fit(lengths, displaced[np.argsort(-lengths[displaced], kind="stable")], bin_of, space, capacity)
     return Packing(bin_of, lengths, capacity)
 
@@ -104,30 +132,38 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 def evolve(lengths: np.ndarray, elites: list[np.ndarray], seed: int, capacity: int = CAPACITY, population: int = POPULATION, generations: int = GENERATIONS) -> Packing:
-    """The best packing of one island, starting from ``elites`` and from best fit in decreasing and near-decreasing orders."""
+    """The best packing of one island, starting from ``elites`` and from best fit in decreasing and near-decreasing orders.
+
+    Ends early only where the lower bound is met, which no packing can beat.
+    """
     rng = np.random.default_rng(seed)
     least = lower_bound(lengths, capacity)
     own = [Packing(e, lengths, capacity) for e in elites] or [packed(lengths, np.argsort(-lengths, kind="stable"), capacity)]
     while len(own) < population and min(p.bins for p in own) > least:
-        own.append(packed(lengths, np.argsort(-lengths * rng.uniform(0.9, 1.1, len(lengths)), kind="stable"), capacity))
+        own.append(packed(lengths, np.argsort(-lengths * rng.uniform(0.8, 1.2, len(lengths)), kind="stable"), capacity))
     for _ in range(generations):
         own.sort(key=Packing.key)
         if own[0].bins <= least:
             break
-        own = own[:population]
-        own += [crossed(own[i % len(own)], own[int(rng.integers(len(own)))], lengths, capacity, rng) for i in range(population)]
+        # equal packings count once, so that the population does not become one
+        own = list({p.key(): p for p in reversed(own)}.values())[::-1][:population]
+        pairs = [(i % len(own), int(rng.integers(len(own)))) for i in range(population)]
+        own += [crossed(own[i], own[j] if i != j else packed(lengths, np.argsort(-lengths * rng.uniform(0.8, 1.2, len(lengths)), kind="stable"), capacity), lengths, capacity, rng) for i, j in pairs]
     return min(own, key=Packing.key)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each document's ids and ``end_id``, cut only where they exceed ``capacity``."""
+    """doc_id, piece, start, length, ids_crc32: each document's ids and ``end_id``, cut only where they exceed ``capacity``.
+
+    Null and empty texts give one piece, ``end_id`` alone; null ids and repeated rows give pieces like any other; a long text is
+    encoded in parts. An empty table gives an empty result.
+    """
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in sliced(batch, 1):
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     view = memoryview(ids + tail)
@@ -141,42 +177,66 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS) -> DataFrame:
-    """Place pieces (length, and any other columns) into sequences: adds sequence_id and offset.
+def evolved(rest: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
+    """The best packing found for each block of ``rest`` (block, row, length): block, bins, best_fit_bins, least_bins, bin_of.
 
-    Lengths are 1 to ``capacity``. Pieces that fill a sequence get one of their own at once. Every other piece belongs to
-    one block by the hash of its row number; blocks hold about ``block`` pieces whatever the keys, and at most one
-    sequence of a block is far from full. Repeated rows are pieces of their own; an empty table gives an empty result.
+    ``bin_of`` holds the bin of each row, in the order of ``row``, as 32-bit numbers. Every island of a block is a task; after each
+    round an island gets the elite of the one before it, and blocks that meet their lower bound on any island take no
+    further part. ``best_fit_bins`` is what best fit in decreasing order takes, ``least_bins`` the lower bound.
     """
-    columns = pieces.columns
-    rows = staged(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    whole = rows.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long"))
-    rest = rows.where(F.col("length") < capacity)
-    blocks = max(1, -(-rest.count() // block))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("long"))
-    each = rest.select("block", "row", "length").withColumn("island", F.explode(F.array(*[F.lit(i).cast("long") for i in range(islands)])))
-    kind = "block long, island long, bins long, spread double, bin_of binary"
+    each = staged(rest.withColumn("island", F.explode(F.array(*[F.lit(i).cast("long") for i in range(islands)]))), "islands")
+    kind = "block long, island long, bins long, spread double, best_fit_bins long, least_bins long, bin_of binary"
 
-    def lengths_of(table: pa.Table) -> np.ndarray:
-        return table.sort_by("row")["length"].to_numpy()
-
-    def elite(key: tuple, lengths: np.ndarray, given: list[np.ndarray], turn: int) -> pa.Table:
+    def elite(key: tuple, table: pa.Table, given: list[np.ndarray], turn: int) -> pa.Table:
         b, i = (int(k.as_py()) for k in key)
+        lengths = table.sort_by("row")["length"].to_numpy()
         best = evolve(lengths, given, seed=b * 1009 + i * 31 + turn, capacity=capacity)
+        first = packed(lengths, np.argsort(-lengths, kind="stable"), capacity).bins if turn == 0 else 0
         return pa.table(
-            {"block": pa.array([b], pa.int64()), "island": pa.array([i], pa.int64()), "bins": pa.array([best.bins], pa.int64()), "spread": pa.array([-best.fitness]), "bin_of": pa.array([best.bin_of.tobytes()], pa.binary())}
-        )
+            {
+                "block": pa.array([b], pa.int64()), "island": pa.array([i], pa.int64()), "bins": pa.array([best.bins], pa.int64()), "spread": pa.array([-best.fitness]),
+                "best_fit_bins": pa.array([first], pa.int64()), "least_bins": pa.array([lower_bound(lengths, capacity)], pa.int64()), "bin_of": pa.array([best.bin_of.tobytes()], pa.binary()),
+            }
+        )
+
+    elites = staged(each.groupBy("block", "island").applyInArrow(lambda key, table: elite(key, table, [], 0), kind), "elites")
+    done = [elites]
+    for turn in range(1, rounds):
+        still = elites.groupBy("block").agg(F.min("bins").alias("found"), F.min("least_bins").alias("least")).where("found > least").select("block")
+        elites = elites.join(still, "block", "left_semi")
+        moved = elites.unionByName(elites.withColumn("island", (F.col("island") + 1) % islands)) if islands > 1 else elites
+
+        def again(key: tuple, table: pa.Table, met: pa.Table) -> pa.Table:
+            best = met.sort_by([("bins", "ascending"), ("spread", "ascending")])
+            return elite(key, table, [np.frombuffer(x, np.int32) for x in best["bin_of"].to_pylist()], turn)  # noqa: B023
+
+
+        left = each.join(still, "block", "left_semi")
+        elites = staged(left.groupBy("block", "island").cogroup(moved.groupBy("block", "island")).applyInArrow(again, kind), "elites")
+        done.append(elites)
+        if elites.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, done)
+    best = F.min_by(F.struct("bins", "bin_of"), F.struct("bins", "spread", "island")).alias("best")
+    return found.groupBy("block").agg(best, F.max("best_fit_bins").alias("best_fit_bins"), F.max("least_bins").alias("least_bins")).select("block", "best.bins", "best_fit_bins", "least_bins", "best.bin_of")
 
-    def first(key: tuple, table: pa.Table) -> pa.Table:
-        return elite(key, lengths_of(table), [], 0)
 
-    def again(key: tuple, table: pa.Table, elites: pa.Table) -> pa.Table:
-        return elite(key, lengths_of(table), [np.frombuffer(x, np.int32) for x in elites.sort_by("bins")["bin_of"].to_pylist()], 1)
+def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
+    """Place pieces (length, and any other columns) into sequences: adds sequence_id and offset, in place of any such columns.
 
-    elites = staged(each.groupBy("block", "island").applyInArrow(first, kind), "elites")
-    moved = elites.unionByName(elites.withColumn("island", (F.col("island") + 1) % islands)) if islands > 1 else elites
-    elites = staged(each.groupBy("block", "island").cogroup(moved.groupBy("block", "island")).applyInArrow(again, kind), "elites")
-    best = elites.groupBy("block").agg(F.min_by("bin_of", F.struct("bins", "spread", "island")).alias("bin_of"))
+    Lengths are 1 to ``capacity``. Pieces that fill a sequence get one of their own at once. Every other piece belongs to
+    one block by the hash of its row number; blocks hold about ``block`` pieces whatever the keys. Repeated rows are pieces of
+    their own; an empty table gives an empty result.
+    """
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
+    columns = [F.col(f"`{c}`") for c in pieces.columns]
+    own = fresh(pieces, "row")
+    rows = staged(pieces.withColumn(own, F.monotonically_increasing_id()), "pieces")
+    filled = rows.where(F.col("length") >= capacity).select(*columns, (-1 - F.col(own)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = rows.where(F.col("length") < capacity).select(F.col(own).alias("row"), F.col("length").cast("long"))
+    blocks = max(1, -(-rest.count() // block))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("long")).select("block", "row", "length")
+    best = evolved(rest, capacity, islands, rounds)
 
     def place(key: tuple, table: pa.Table, chosen: pa.Table) -> pa.Table:
         table = table.sort_by("row")
@@ -188,11 +248,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
         offset = np.empty(len(length), np.int64)
         offset[order] = begins - np.maximum.accumulate(np.where(new, begins, 0))
         ids = (int(key[0].as_py()) << 20) + bin_of.astype(np.int64)
-        return table.drop_columns(["row", "block"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
+        return pa.table({"row": table["row"], "sequence_id": pa.array(ids), "offset": pa.array(offset)})
 
-    schema = rest.drop("row", "block").schema.add("sequence_id", "long").add("offset", "long")
-    placed = rest.groupBy("block").cogroup(best.groupBy("block")).applyInArrow(place, schema)
-    return whole.select(*columns, "sequence_id", "offset").unionByName(placed.select(*columns, "sequence_id", "offset"))
+    placed = rest.groupBy("block").cogroup(best.groupBy("block")).applyInArrow(place, "row long, sequence_id long, offset long")
+    number, sequence, at = (fresh(rows, c) for c in ("placed_row", "placed_sequence", "placed_offset"))
+    placed = placed.select(F.col("row").alias(number), F.col("sequence_id").alias(sequence), F.col("offset").alias(at))
+    others = rows.join(placed, F.col(own) == F.col(number)).select(*columns, F.col(sequence).alias("sequence_id"), F.col(at).alias("offset"))
+    return filled.unionByName(others)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
