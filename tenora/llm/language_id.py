@@ -7,7 +7,6 @@ each bit's loss weighs as much as the bit can be trusted for that language; clos
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,6 @@ CHUNK = 1 << 20
 
 # byte classes: letters A-Z as a-z, other ASCII than letters as a blank, bytes of longer characters as they are
 _FOLD = bytes(b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def codewords(k: int) -> np.ndarray:
@@ -138,9 +136,14 @@ def learn(docs: DataFrame) -> Model | None:
     return fit(np.stack(x).astype(np.float32), labels) if x else None
 
 
+def lettered(text: str | None) -> bool:
+    """Does the text hold a letter? Numbers that are written with letters (½, Ⅷ, ①) are none."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], list[float], list[bool]]:
     """Language, score and whether the call is ambiguous, for each text."""
-    known = [bool(t) and _LETTER.search(t) is not None for t in texts]
+    known = list(map(lettered, texts))
     if model is None:
         return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
     p = model.probabilities(features(texts))
@@ -170,7 +173,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` whose language is known, with all their columns: those with letters and a score of ``least`` or more.
 
-    With four languages a call that says nothing scores 0.25; clean prose scores close to 1.
+    With four languages a call that says nothing scores 0.25; clean prose scores close to 1. Null, empty and letterless texts
+    go; repeated rows are judged each on its own; other columns, null or not, do not matter. Where nothing can be learned, as
+    no row has a label, every text with letters stays. An empty table gives an empty result.
     """
     model = learn(docs.select("doc_id", "text", "lang"))
     at = docs.columns.index("text")
@@ -179,7 +184,11 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                names, scores, _ = predict(part.column(at).to_pylist(), model)
+                texts = part.column(at).to_pylist()
+                if model is None:
+                    yield part.filter(pa.array(list(map(lettered, texts)), pa.bool_()))
+                    continue
+                names, scores, _ = predict(texts, model)
                 yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]))
 
     return docs.mapInArrow(run, docs.schema)
