@@ -155,6 +155,30 @@ def test_jaccard_components(spark, seed, monkeypatch):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out} == {(i, n[i], root[i]) for i, _ in rows}
 
 
+def test_large_balls_of_unlike_copies(spark, monkeypatch):
+    # all share half their shingles with the first, so that it heads them, but few of them are near it
+    monkeypatch.setattr(jaccard_join, "TILE", 2)
+    rng = random.Random(11)
+    half = prose(rng, 40)
+    ends = [prose(rng, 40) for _ in range(4)]
+    rows = [(0, half)]
+    for i in range(1, 41):
+        words = f"{half} {ends[i % 4]}".split()
+        words[rng.randrange(40, 80)] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(7, "another text with the same id as one before it"), (None, rows[3][1] + " z")]
+    n, root = jaccard_brute([r for r in rows[:41]])
+    assert len(set(root.values())) == 5
+    out = jaccard_join.jaccard_components(documents(spark, rows)).collect()
+    assert {(i, n[i], root[i]) for i in n} <= {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out} and len(out) == len(rows)
+
+
+def test_overlaps_are_exact_integers():
+    big = np.arange(1, 300_001, dtype=np.uint64)
+    both = jaccard_join.overlaps([big, big[:225_000], big[1:]], columns=1 << 15)
+    assert both.dtype == np.int64 and both[0, 1] == 225_000 and both[0, 2] == 299_999 and both[1, 2] == 224_999
+
+
 def test_jaccard_odd_rows(spark):
     assert jaccard_join.jaccard_components(documents(spark, [])).count() == 0
     out = jaccard_join.jaccard_components(documents(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)])).collect()
