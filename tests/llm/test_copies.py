@@ -253,16 +253,79 @@ def test_near_passages_are_all_found(spark):
     assert i > 120 and found == set(range(i))
 
 
-def test_similar_passages_share_anchors():
-    assert substring_dedup.window_width(46, 75) == 7 and substring_dedup.sure_anchors(46, 75, 7) == 4
-    rng = np.random.default_rng(6)
-    for _ in range(200):
-        one = rng.integers(0, 1 << 62, 46 + int(rng.integers(0, 60))).astype(np.uint64)
-        two = one.copy()
-        at = int(rng.integers(0, len(one) - 5))
-        two[at : at + 5] = rng.integers(0, 1 << 62, 5).astype(np.uint64)
-        keys = [set(substring_dedup.signatures(np.array([len(x)]), x, 46, 7)[2].tolist()) for x in (one, two)]
-        assert len(keys[0] & keys[1]) >= 4
+def slow_windows(h, span):
+    """Compact windows by looking left and right of every place."""
+    out = []
+    for c in range(len(h)):
+        left = right = c
+        while left and h[left - 1] > h[c]:
+            left -= 1
+        while right + 1 < len(h) and h[right + 1] > h[c]:
+            right += 1
+        if right - left + 1 >= span:
+            out.append((left, c, right))
+    return out
+
+
+def test_compact_windows_equal_slow_ones():
+    rng = np.random.default_rng(5)
+    for span in (1, 3, 10, 46):
+        lengths = np.array([0, 5, 46, 120, 1, 300])
+        rows = rng.integers(0, 1 << 60, lengths.sum()).astype(np.uint64)
+        text, low, centre, high = substring_dedup.compact_windows(lengths, rows, span, np.uint64(77))
+        got = list(zip(text.tolist(), low.tolist(), centre.tolist(), high.tolist(), strict=True))
+        want, at = [], 0
+        for t, n in enumerate(lengths):
+            h = shingles.mixed(rows[at : at + n] ^ np.uint64(77)) >> np.uint64(20)
+            want += [(t, *w) for w in slow_windows(h.tolist(), span)] if n >= span else []
+            at += n
+        assert got == want
+
+
+def test_interval_join_equals_counting():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        n = int(rng.integers(3, 40))
+        a, b, c = rng.integers(0, 2, n), rng.integers(5, 7, n), rng.integers(50, 120, n)
+        first, last = c - rng.integers(20, 46, n), c - rng.integers(0, 20, n)
+        at, place = substring_dedup.packed(c, first, last), substring_dedup.packed(c + 7, c, c)
+        found = {}
+        for x, y, d, low, high in zip(*(v.tolist() for v in substring_dedup.regions(a, b, at, place, 3)), strict=True):
+            assert d == 7
+            found.setdefault((x, y), set()).update(range(low, high + 1))
+        for x in (0, 1):
+            for y in (5, 6):
+                own = (a == x) & (b == y)
+                assert {p for p in range(200) if ((first <= p) & (p <= last) & own).sum() >= 3} == found.get((x, y), set())
+
+
+def test_recall_of_near_passages(spark):
+    """Passages with words changed, put in and left out, of all similarities from 0.75: found or not, against the sets themselves."""
+    rng = random.Random(31)
+    rows, i = [], 0
+    while i < 900:
+        one = prose(rng, rng.choice([55, 70, 90, 120])).split()
+        two = list(one)
+        for _ in range(rng.choice([1, 2, 2, 3, 4])):
+            at = rng.randrange(len(two))
+            two[at : at + rng.choice([0, 1, 1, 2])] = [f"n{rng.randrange(10**6)}"] * rng.choice([0, 1, 1, 2])
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (one, two))
+        if len(two) < 50 or one == two or 100 * len(a & b) < 75 * len(a | b):
+            continue
+        rows += [(i, f"{prose(rng, 70)} {' '.join(one)} {prose(rng, 70)}"), (i + 1, f"{prose(rng, 30)} {' '.join(two)} {prose(rng, 90)}")]
+        i += 2
+    clean = [(10_000 + k, prose(rng, 200)) for k in range(200)]
+    found = {r["doc_id"] for r in substring_dedup.repeated_passages(documents(spark, rows + clean)).collect()}
+    assert not {d for d in found if d >= 10_000}
+    assert len(found) / len(rows) > 0.97
+
+
+def test_whole_copies(spark):
+    rng = random.Random(37)
+    text, short = prose(rng, 90), prose(rng, 30)
+    rows = [(i, text) for i in range(5, 40)] + [(3, short), (4, short), (5, text), (50, f"{prose(rng, 20)} {text.upper()}"), (60, " ".join(["again"] * 500)), (61, "x " + " ".join(["again"] * 400)), (7, prose(rng, 200))]
+    out = {(r["doc_id"], r["first_word"], r["last_word"], r["source_id"]) for r in substring_dedup.repeated_passages(documents(spark, rows)).collect()}
+    assert {(i, 0, 89, 5) for i in range(5, 40)} | {(50, 20, 109, 5)} <= out and {r[0] for r in out} <= {*range(5, 40), 50, 60, 61}
 
 
 def test_passages_around_common_quotes(spark):
