@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenora.plans.staging import fresh
 
-BITS = 1 << 23  # 256 bitmaps of 4 KB, whatever the data
+BITS = 1 << 25  # 1024 bitmaps of 4 KB, whatever the data
 
 
 def _place(key: Column) -> Column:
@@ -17,13 +17,19 @@ def _place(key: Column) -> Column:
 def sieved(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """``rows`` whose column ``name`` occurs in ``keys``, which is stored and distinct in it.
 
-    The bitmap (1 MB, broadcast) lets every wanted row pass, and some others; the exact semi-join that follows drops
+    The bitmap (4 MB, broadcast) lets every wanted row pass, and some others; the exact semi-join that follows drops
     those. With very many keys it lets all pass, which costs a shuffle but changes no result.
     """
     tested, hit = _tested(rows, keys, name)
     return tested.where(hit).join(keys.select(name), name, "left_semi").select(*_columns(rows))
 
 
+def roughly(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """:func:`sieved` without the exact semi-join, for callers whose own join drops the rows that pass by chance."""
+    tested, hit = _tested(rows, keys, name)
+    return tested.where(hit).select(*_columns(rows))
+
+
 def without(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """``rows`` whose column ``name`` does not occur in ``keys``; null names stay. Rows that the bitmap clears are not shuffled."""
     tested, hit = _tested(rows, keys, name)

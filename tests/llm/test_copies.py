@@ -282,13 +282,22 @@ def test_compact_windows_equal_slow_ones():
         assert got == want
 
 
+def test_repeating_text_has_few_windows():
+    for period in (1, 3, 40):
+        rows = np.tile(np.random.default_rng(period).integers(0, 1 << 60, period).astype(np.uint64), 12_000 // period)
+        text, key, place = substring_dedup.signatures(np.array([len(rows)]), rows, 46, 4)
+        assert len(key) <= 4 * (12_000 // substring_dedup.RUN + 2)
+        _, first, last = substring_dedup.unpacked(place)
+        assert first.min() == 0 and last.max() == len(rows) - 46
+
+
 def test_interval_join_equals_counting():
     rng = np.random.default_rng(9)
     for _ in range(50):
         n = int(rng.integers(3, 40))
         a, b, c = rng.integers(0, 2, n), rng.integers(5, 7, n), rng.integers(50, 120, n)
         first, last = c - rng.integers(20, 46, n), c - rng.integers(0, 20, n)
-        at, place = substring_dedup.packed(c, first, last), substring_dedup.packed(c + 7, c, c)
+        at, place = substring_dedup.packed(c, first, last), substring_dedup.packed(c + 7, c + 7, c + 7)
         found = {}
         for x, y, d, low, high in zip(*(v.tolist() for v in substring_dedup.regions(a, b, at, place, 3)), strict=True):
             assert d == 7
@@ -325,6 +334,7 @@ def test_whole_copies(spark):
     text, short = prose(rng, 90), prose(rng, 30)
     rows = [(i, text) for i in range(5, 40)] + [(3, short), (4, short), (5, text), (50, f"{prose(rng, 20)} {text.upper()}"), (60, " ".join(["again"] * 500)), (61, "x " + " ".join(["again"] * 400)), (7, prose(rng, 200))]
     out = {(r["doc_id"], r["first_word"], r["last_word"], r["source_id"]) for r in substring_dedup.repeated_passages(documents(spark, rows)).collect()}
+    assert {(60, 0, 499, 60), (61, 1, 400, 60)} <= out
     assert {(i, 0, 89, 5) for i in range(5, 40)} | {(50, 20, 109, 5)} <= out and {r[0] for r in out} <= {*range(5, 40), 50, 60, 61}
 
 
