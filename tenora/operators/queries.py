@@ -6,6 +6,8 @@ collected, and every listing's order ends in an id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,8 +96,8 @@ def preview_invitations(tokens: DataFrame, invitations: DataFrame, tenants: Data
 
 
 def resolve_users(requests: DataFrame, users: DataFrame) -> DataFrame:
-    """Requests (event_id, firebase_uid) with the caller's id, or the code for one that is not provisioned."""
-    u = users.select("firebase_uid", F.col("id").alias("user_id"))
+    """Requests (event_id, firebase_uid) with the caller's id, or the code for one that is not provisioned. Two users of one uid are a fault."""
+    u = at_most_one(users.select("firebase_uid", F.col("id").alias("user_id")), "firebase_uid")
     return requests.join(u, "firebase_uid", "left").select("event_id", "user_id", F.when(F.col("user_id").isNull(), "user.not_provisioned").alias("error_code"))
 
 
@@ -208,3 +210,14 @@ def validation_maps(report: DataFrame) -> DataFrame:
     """The report with one map from field to messages for each command."""
     fields = report.groupBy("command_id", "field").agg(F.array_sort(F.collect_list("message")).alias("messages"))
     return fields.groupBy("command_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "messages")))).alias("errors"))
+
+
+def at_most_one(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows``, one for each value of ``keys`` at most: a second one is a fault that ends the query. Rows with a null key pass.
+
+    For lookups by what must be unique, where a second row would multiply what is joined to it.
+    """
+    whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    second = whole & (F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) > 1)
+    fault = F.raise_error(F.concat_ws(" ", F.lit(f"more than one row for {', '.join(keys)}:"), *[F.col(k).cast("string") for k in keys])).cast("boolean")
+    return rows.withColumn("_second", second).where(F.when(F.col("_second"), fault).otherwise(F.lit(True))).drop("_second")

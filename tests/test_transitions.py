@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tenora.operators import audits, jobs, replay
+from tenora.operators import audits, jobs, queries, replay
 from tenora.sources import tables
 from tenora.sources.fixtures import Fixture
 from tenora.streaming import streams
@@ -64,6 +64,33 @@ def test_accept_order_of_refusals(spark):
     }
 
 
+def test_accept_with_a_shared_address(spark):
+    later = NOW + dt.timedelta(days=1)
+    inv = spark.createDataFrame([(i, 1, "a@x", None, None, None, later) for i in (1, 2, 3)], INVITES).withColumn("token_hash", F.unhex(F.sha2(F.concat(F.lit("t"), F.col("id")), 256)))
+    users = spark.createDataFrame([(1, "a@x"), (2, "A@x"), (3, "a@x")], "id long, email string")
+    members = spark.createDataFrame([], "tenant_id long, user_id long, role int")
+    commands = [(1, "t1", 1), (2, "t1", 2), (3, "t2", 2), (4, "t2", 2), (5, "t2", 3), (6, "t3", 1), (7, "t3", 3), (8, "t1", 3)]
+    out = jobs.accept_invitations(spark.createDataFrame([(*c, NOW) for c in commands], "command_id long, token string, user_id long, ts timestamp_ntz"), users, members, inv)
+    used, member = "invitation.already_accepted", "already_member"
+    assert {r["command_id"]: r["outcome"] for r in out.collect()} == {1: "accepted", 2: used, 3: "accepted", 4: member, 5: used, 6: member, 7: "accepted", 8: member}
+
+
+def test_second_run_inserts_nobody(spark):
+    users = spark.createDataFrame([], "id long, firebase_uid string, email string, email_verified boolean, display_name string, last_seen_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz")
+    sign_ins = spark.createDataFrame([("u", "a@x", True, "A", NOW, 1), ("v", "b@x", True, None, NOW, 2)], "firebase_uid string, email string, email_verified boolean, display_name string, ts timestamp_ntz, event_id long")
+    once = jobs.upsert_users(users, sign_ins, F.lit(NOW).cast("timestamp_ntz"))
+    assert {(r["firebase_uid"], r["inserted"]) for r in once.collect()} == {("u", True), ("v", True)}
+    again = jobs.upsert_users(once.drop("inserted", "profile_changed"), sign_ins, F.lit(NOW).cast("timestamp_ntz"))
+    assert {(r["firebase_uid"], r["inserted"], r["profile_changed"]) for r in again.collect()} == {("u", False, False), ("v", False, False)}
+
+
+def test_at_most_one(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, None)], "id long, uid string")
+    assert queries.at_most_one(rows, "uid").count() == 4
+    with pytest.raises(Exception, match="more than one row for uid: a"):
+        queries.at_most_one(rows.union(rows.where("id = 1")), "uid").collect()
+
+
 def state(**roles):
     return replay.TenantState({int(k[1:]): v for k, v in roles.items()})
 
