@@ -20,7 +20,7 @@ DIMENSIONS = 4096
 SAMPLE = 6000  # labelled documents that the classifiers are fitted on, at most
 PER_LANGUAGE = 1000
 MARGIN = 0.1  # least lead in probability of a call that isn't ambiguous
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 # byte classes: letters A-Z as a-z, other ASCII than letters as a blank, bytes of longer characters as they are
 _FOLD = bytes(b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))

@@ -69,7 +69,7 @@ def shingle_rows(words: np.ndarray) -> np.ndarray:
     return words
 
 
-def in_groups(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def in_groups(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """Slices of ``texts`` in UTF-8 of about ``limit`` bytes, with their first place."""
     start, held, size = 0, [], 0
     for i, text in enumerate(texts):

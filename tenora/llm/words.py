@@ -21,9 +21,9 @@ from tenora.llm.bpe import PRETOKEN, WORD_END
 from tenora.llm.shingles import mixed
 
 CONTROL = "\x1c\x1d\x1e\x1f"  # white space to the splitting function, none to the vocabulary's pattern
-REMEMBERED = 64 << 20  # bytes of remembered words in a worker
+REMEMBERED = 48 << 20  # bytes of remembered words in a worker
 LONG = 64  # words of more bytes are not remembered
-GROUP = 1 << 22  # characters encoded together
+GROUP = 1 << 20  # characters encoded together
 ROW = 512  # words in a row for the library
 
 _RANDOM = np.random.default_rng(20240301)
