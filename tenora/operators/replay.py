@@ -6,7 +6,9 @@ commands don't enter. The same function serves the batch and the stream.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from collections import Counter
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,13 +28,36 @@ class Invite:
 
 @dataclass
 class TenantState:
-    """One tenant's members (user to role) and invitations (id to state)."""
+    """One tenant's members (user to role) and invitations (id to state), with the number of owners and the open addresses."""
 
     roles: dict[int, int] = field(default_factory=dict)
     invites: dict[int, Invite] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.owners = sum(r == OWNER for r in self.roles.values())
+        self.open = Counter(i.email for i in self.invites.values() if not i.accepted and not i.revoked)
+
+    def to_json(self) -> str:
+        return json.dumps({"roles": self.roles, "invites": {k: asdict(i) | {"expires_at": i.expires_at.isoformat()} for k, i in self.invites.items()}})
+
+    @classmethod
+    def from_json(cls, text: str) -> TenantState:
+        kept = json.loads(text)
+        invites = {int(k): Invite(**(i | {"expires_at": pd.Timestamp(i["expires_at"])})) for k, i in kept["invites"].items()}
+        return cls({int(u): r for u, r in kept["roles"].items()}, invites)
+
+    def put(self, user: int, role: int | None) -> None:
+        """Give a user a role, or none any more."""
+        self.owners += (role == OWNER) - (self.roles.pop(user, None) == OWNER)
+        if role is not None:
+            self.roles[user] = role
+
+    def invite(self, invitation: int, email: str, role: int, ts: pd.Timestamp) -> None:
+        self.invites[invitation] = Invite(email, role, ts + pd.Timedelta(days=7))
+        self.open[email] += 1
+
     def _losing_last(self, user: int, role: int | None) -> bool:
-        return self.roles[user] == OWNER and role != OWNER and sum(r == OWNER for r in self.roles.values()) <= 1
+        return self.roles[user] == OWNER and role != OWNER and self.owners <= 1
 
     def apply(self, kind: str, actor: int, target: int | None, role: int | None, invitation: int | None = None, email: str | None = None, ts=None) -> str:
         """Carry out one command; returns ok or the code of its refusal."""
@@ -61,7 +86,9 @@ class TenantState:
                 return "resource.not_found"
             if found.accepted:
                 return "invitation.already_accepted"
-            found.revoked = True
+            if not found.revoked:
+                found.revoked = True
+                self.open[found.email] -= 1
             return "ok"
         return "request.validation_failed"
 
@@ -75,21 +102,23 @@ class TenantState:
         if self.roles[target] != role:
             if self._losing_last(target, role):
                 return "tenant.last_owner"
-            self.roles[target] = role
+            self.put(target, role)
         return "ok"
 
     def _drop(self, user: int) -> str:
         if self._losing_last(user, None):
             return "tenant.last_owner"
-        del self.roles[user]
+        self.put(user, None)
         return "ok"
 
-    def _issue(self, own: int, invitation: int, email: str, role: int, ts) -> str:
+    def _issue(self, own: int, invitation: int | None, email: str | None, role: int | None, ts) -> str:
+        if role not in ROLE_NAMES or not email or invitation is None or invitation in self.invites:
+            return "request.validation_failed"
         if own < OWNER <= role:
             return "access.forbidden"
-        if any(i.email == email and not i.accepted and not i.revoked for i in self.invites.values()):
+        if self.open[email] > 0:
             return "invitation.already_pending"
-        self.invites[invitation] = Invite(email, role, ts + pd.Timedelta(days=7))
+        self.invite(invitation, email, role, ts)
         return "ok"
 
     def _accept(self, user: int, invitation: int | None, email: str | None, ts) -> str:
@@ -102,7 +131,8 @@ class TenantState:
             if failed:
                 return code
         found.accepted = True
-        self.roles[user] = found.role
+        self.open[found.email] -= 1
+        self.put(user, found.role)
         return "ok"
 
 

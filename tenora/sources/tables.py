@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tenora.sources.schemas import EVENTS, REQUEST_LOG, TABLES
 
@@ -14,22 +16,35 @@ def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in TABLES.items()}
 
 
+POINTER = "number long, snapshot string"
+
+
+def _last_number(spark: SparkSession, folder: str) -> int:
+    try:
+        return spark.read.schema(POINTER).parquet(f"{folder}/current").agg(F.max("number")).first()[0] or 0
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0  # the first snapshot
+
+
 def write_snapshot(tables: dict[str, DataFrame], folder: str) -> str:
     """Write a new snapshot beside the old ones, then point to it; returns its name.
 
-    The pointer is one row in a table that is overwritten last, so readers see the old snapshot or the new one, whole.
+    Pointers are only added, each in a file of its own with the next number, so that at any moment readers find the old snapshot or
+    the new one, whole. Of two that are written at once with one number, the greater name counts.
     """
     name = f"snapshot-{uuid.uuid4().hex}"
     for table, df in tables.items():
         df.write.parquet(f"{folder}/{name}/{table}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(name,)], "snapshot string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
+    spark.createDataFrame([(_last_number(spark, folder) + 1, name)], POINTER).coalesce(1).write.mode("append").parquet(f"{folder}/current")
     return name
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of the snapshot that the pointer names."""
-    name = spark.read.schema("snapshot string").parquet(f"{folder}/current").first()["snapshot"]
+    """The tables of the snapshot that the newest pointer names."""
+    name = spark.read.schema(POINTER).parquet(f"{folder}/current").agg(F.max(F.struct("number", "snapshot")).alias("last")).first()["last"]["snapshot"]
     return read_tables(spark, f"{folder}/{name}")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -45,7 +44,7 @@ class _Limiter(StatefulProcessor):
             begin = micros // width
             n = (self.seen.getValue((begin,))[0] if self.seen.containsKey((begin,)) else 0) + 1
             self.seen.updateValue((begin,), (n,))
-            admitted = n <= self.permits[policy]
+            admitted = policy not in self.permits or n <= self.permits[policy]
             out.append((row.event_id, caller, policy, admitted, None if admitted else -(-((begin + 1) * width - micros) // 1_000_000)))
         # windows long before the newest are over
         newest = max(k[0] for k in self.seen.keys())
@@ -59,29 +58,36 @@ class _Limiter(StatefulProcessor):
 
 
 def limited_requests(requests: DataFrame, permits: dict[str, int], seconds: int = 60) -> DataFrame:
-    """A verdict for every request of a stream: event_id, caller, policy, admitted, retry_after. Needs the RocksDB state store."""
+    """A verdict for every request of a stream: event_id, caller, policy, admitted, retry_after. Needs the RocksDB state store.
+
+    Requests of a policy without a number of permits are all admitted. A caller's windows are kept until its requests are 60 windows
+    further; requests later than that are counted from one again.
+    """
     return requests.groupBy("caller", "policy").transformWithStateInPandas(
         statefulProcessor=_Limiter(permits, seconds), outputStructType="event_id long, caller string, policy string, admitted boolean, retry_after long", outputMode="Append", timeMode="None"
     )
 
 
 class _Members(StatefulProcessor):
-    """A tenant's members, as JSON, between batches of commands."""
+    """A tenant's members and invitations, as JSON, between batches of commands."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.roles = handle.getValueState("roles", "roles string")
+        self.kept = handle.getValueState("tenant", "state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = json.loads(self.roles.get()[0]) if self.roles.exists() else {}
-        tenant = TenantState({int(u): r for u, r in known.items()})
+        tenant = TenantState.from_json(self.kept.get()[0]) if self.kept.exists() else TenantState()
         batch = pd.concat(list(rows)).sort_values(["ts", "command_id"])
         out = []
         for row in batch.itertuples(index=False):
-            if row.kind == "seed":  # a member that is already there
-                tenant.roles[number(row.target_id)] = number(row.role)
+            invitation, email = number(getattr(row, "invitation_id", None)), getattr(row, "email", None)
+            if row.kind == "seed":  # an open invitation or a member that is already there
+                if invitation is not None:
+                    tenant.invite(invitation, email, number(row.role), row.ts)
+                else:
+                    tenant.put(number(row.target_id), number(row.role))
                 continue
-            out.append((key[0], row.command_id, tenant.apply(row.kind, number(row.actor_id), number(row.target_id), number(row.role), ts=row.ts)))
-        self.roles.update((json.dumps(tenant.roles),))
+            out.append((key[0], row.command_id, tenant.apply(row.kind, number(row.actor_id), number(row.target_id), number(row.role), invitation, email, row.ts)))
+        self.kept.update((tenant.to_json(),))
         yield pd.DataFrame(out, columns=["tenant_id", "command_id", "outcome"])
 
     def close(self) -> None:
@@ -89,7 +95,11 @@ class _Members(StatefulProcessor):
 
 
 def membership_stream(commands: DataFrame) -> DataFrame:
-    """Outcomes of a stream of commands (tenant_id, command_id, actor_id, target_id, ts, kind, role); ``seed`` rows carry the first state."""
+    """Outcomes of a stream of commands (tenant_id, command_id, actor_id, target_id, ts, kind, role, and invitation_id and email where invitations occur).
+
+    ``seed`` rows carry the first state: members, and open invitations with the time of their issue. Closed ones that are not
+    seeded are not found.
+    """
     return commands.groupBy("tenant_id").transformWithStateInPandas(statefulProcessor=_Members(), outputStructType="tenant_id long, command_id long, outcome string", outputMode="Append", timeMode="None")
 
 

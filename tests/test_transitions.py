@@ -212,3 +212,53 @@ def test_vector_queries_in_blocks(spark):
     q = v.withColumnRenamed("vec_id", "query_id")
     whole = sorted(map(tuple, vector_top_k(q, v, 3).collect()))
     assert len(whole) == 180 and sorted(map(tuple, vector_top_k(q, v, 3, block=25).collect())) == whole
+
+
+def test_accepted_commands_make_rows(spark):
+    from tenora.functions.columns import token_hash
+    from tenora.sources.schemas import INVITATIONS, MEMBERSHIPS, TENANTS
+
+    old = dt.datetime(2020, 1, 1)
+    users = spark.createDataFrame([(1, "a", "a@x", True, None, old, old, old), (2, "b", "b@x", True, None, old, old, old)], USERS)
+    creates = spark.createDataFrame([(i, "a", "Acme", NOW) for i in range(1, 31)], "command_id long, firebase_uid string, name string, ts timestamp_ntz")
+    outcomes = jobs.create_tenants(creates, users, spark.createDataFrame([], TENANTS))
+    codes = {r["command_id"]: (r["slug"], r["error_code"]) for r in outcomes.collect()}
+    assert codes[1] == ("acme", None) and codes[25] == ("acme-25", None) and codes[26] == codes[30] == (None, "tenant.slug_exhausted")
+    tenants, members = jobs.created(outcomes, creates, users, F.col("command_id") + 100)
+    assert tenants.columns == TENANTS.names and members.columns == MEMBERSHIPS.names and tenants.count() == 25
+    assert {(r["tenant_id"], r["user_id"], r["role"]) for r in members.collect()} == {(i + 100, 1, 30) for i in range(1, 26)}
+    none = spark.createDataFrame([], INVITATIONS)
+    issues = spark.createDataFrame([(1, 101, 1, "B@x", 10, "t1", NOW), (2, 101, 1, "b@x", 10, "t2", NOW), (3, 101, 2, "c@x", 10, "t3", NOW)], "command_id long, tenant_id long, actor_id long, email string, role int, token string, ts timestamp_ntz")
+    invitations = jobs.issued(jobs.issue_invitations(issues, users, tenants, members, none), issues, F.col("command_id"))
+    assert invitations.columns == INVITATIONS.names
+    assert [(r["id"], r["email"], r["expires_at"]) for r in invitations.collect()] == [(1, "b@x", NOW + dt.timedelta(days=7))]
+    accepts = spark.createDataFrame([(1, "t1", 2, NOW), (2, "t1", 1, NOW), (3, "t9", 2, NOW)], "command_id long, token string, user_id long, ts timestamp_ntz")
+    new, after = jobs.accepted(jobs.accept_invitations(accepts, users, members, invitations), accepts, invitations, F.col("command_id"))
+    assert [(r["tenant_id"], r["user_id"], r["role"]) for r in new.collect()] == [(101, 2, 10)]
+    assert after.columns == INVITATIONS.names and [(r["accepted_at"], r["accepted_by_user_id"]) for r in after.collect()] == [(NOW, 2)]
+    assert after.select(token_hash(F.lit("t1")) == F.col("token_hash")).first()[0]
+
+
+def test_tenant_state_survives_json():
+    a = replay.TenantState({1: 30})
+    ts = pd.Timestamp(NOW)
+    assert a.apply("issue", 1, None, 10, 7, "b@x", ts) == "ok" and a.apply("issue", 1, None, 10, 8, "b@x", ts) == "invitation.already_pending"
+    assert a.apply("issue", 1, None, None, 9, "c@x", ts) == "request.validation_failed"
+    b = replay.TenantState.from_json(a.to_json())
+    assert b == a and b.owners == 1 and b.open == a.open
+    assert b.apply("revoke", 1, None, None, 7) == b.apply("revoke", 1, None, None, 7) == "ok" and b.apply("issue", 1, None, 20, 8, "b@x", ts) == "ok"
+    assert b.apply("accept", 2, None, None, 8, "b@x", ts) == "ok" and b.roles[2] == 20 and b.apply("leave", 1, None, None) == "tenant.last_owner"
+    assert b.apply("set_role", 1, 2, 30) == b.apply("leave", 1, None, None) == "ok" and b.owners == 1
+
+
+def test_streamed_invitations(spark, tmp_path, rocks):
+    schema = "tenant_id long, command_id long, actor_id long, target_id long, ts timestamp_ntz, kind string, role int, invitation_id long, email string"
+    late = NOW + dt.timedelta(days=8)
+    first = [(1, 0, 1, 1, NOW, "seed", 30, None, None), (1, 0, 1, None, NOW, "seed", 10, 5, "d@x"), (1, 1, 1, None, NOW, "issue", 10, 6, "b@x")]
+    second = [(1, 2, 2, None, NOW, "accept", None, 6, "b@x"), (1, 3, 4, None, late, "accept", None, 5, "d@x"), (1, 4, 2, 1, late, "remove", None, None, None)]
+    for n, part in enumerate((first, second)):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/c")
+        stream = streams.membership_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/c"))
+        stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{tmp_path}/k").option("path", f"{tmp_path}/o").trigger(availableNow=True).start().awaitTermination()
+    got = {r["command_id"]: r["outcome"] for r in spark.read.parquet(f"{tmp_path}/o").collect()}
+    assert got == {1: "ok", 2: "ok", 3: "invitation.expired", 4: "access.forbidden"}
