@@ -10,12 +10,14 @@ gives an upper bound (``lookahead``) for how long that can take, so memory doesn
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -331,6 +333,41 @@ class Decoder:
         return b""
 
 
+class ByteDecoder:
+    """Ids of a byte-level vocabulary in, UTF-8 of the text out.
+
+    A character's bytes may lie in several tokens: those of an unfinished one, three at most, are the only state, so ids may come
+    in pieces of any size. Bytes that belong to no character become U+FFFD, an unfinished end when the machine is closed.
+    Ids that the vocabulary does not have are left out.
+    """
+
+    def __init__(self, pieces: dict[int, bytes]):
+        self.pieces = pieces
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        return self.machine.decode(b"".join([self.pieces.get(i, b"") for i in ids.tolist()])).encode()
+
+    def close(self) -> bytes:
+        return self.machine.decode(b"", True).encode()
+
+
+@lru_cache(maxsize=2)
+def byte_pieces(path: str) -> dict[int, bytes] | None:
+    """The bytes of each id of a byte-level vocabulary; None for other vocabularies.
+
+    Such a vocabulary writes printable bytes as the characters of their numbers, and the others, in turn, as those from 256 on.
+    """
+    kept = json.loads(Path(path).read_text(encoding="utf-8"))
+    if (kept.get("decoder") or {}).get("type") != "ByteLevel":
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
+    tokens = {i: t for t, i in kept["model"]["vocab"].items()} | {t["id"]: t["content"] for t in kept.get("added_tokens") or ()}
+    return {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for i, t in tokens.items()}
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     """One tokenizer for each file and Python worker."""
@@ -371,15 +408,22 @@ def encode_documents(docs: DataFrame, path: str | None = None, end_id: int | Non
 
 
 def decode_documents(tokens: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and decoded text of rows (doc_id, ids)."""
+    """doc_id and decoded text of rows (doc_id, ids); null and empty ids give an empty text. Byte-level vocabularies are decoded too."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        pieces = byte_pieces(path)
+
+        def decode(ids: bytes) -> bytes:
+            if pieces is None:
+                return tokenizer(path).decode(ids)
+            machine = ByteDecoder(pieces)
+            return machine.feed(np.frombuffer(ids, "<u4")) + machine.close()
+
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = [tok.decode(x or b"").decode("utf-8", "replace") for x in part.column(1).to_pylist()]
+                texts = [decode(x or b"").decode("utf-8", "replace") for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

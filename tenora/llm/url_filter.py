@@ -94,10 +94,18 @@ def resolved(target: Column, url: Column) -> Column:
     )
 
 
+def alias_key(url: Column) -> Column:
+    """The text by which aliases are the same: scheme and host in lower case, no default port, no fragment."""
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    site = F.when(scheme == "http", F.regexp_replace(host(url), ":80$", "")).when(scheme == "https", F.regexp_replace(host(url), ":443$", "")).otherwise(host(url))
+    return F.when(scheme == "", url).otherwise(F.concat(scheme, F.lit("://"), site, F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^#]*)", 1)))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """Edges (src, dst) between a page's url and the urls, made absolute, that its html names as canonical or redirects to."""
+    """Edges (src, dst) between a page's url and the urls, made absolute, that its html names, outside comments, as canonical or redirects to."""
     has = F.lower("html")
     linked = pages.where(F.col("url").isNotNull() & (has.contains("canonical") | has.contains("refresh")))
+    linked = linked.select("url", F.regexp_replace("html", r"(?s)<!--.*?(-->|\z)", " ").alias("html"))
     named = linked.select(F.col("url").alias("src"), F.explode(F.array(canonical_link(F.col("html")), redirect_target(F.col("html")))).alias("dst"))
     return named.withColumn("dst", resolved(F.col("dst"), F.col("src"))).where("dst IS NOT NULL")
 
@@ -106,7 +114,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: Data
     """One row per page: page_id, host, path, rule, verdict, class_url.
 
     ``redirects`` (src, dst urls) adds edges from a crawl log to those found in the html. ``class_url`` is the smallest
-    url of the page's class, null for a page without aliases. Null urls, and urls without ``://``, have an empty host
+    url of the page's class (see :func:`alias_key`), null for a page without aliases. Null urls, and urls without ``://``, have an empty host
     and path and fit no rule; with nothing else known they are allowed. Repeated rows are judged each on its own.
     Only page_id, url and html are read.
     """
@@ -114,6 +122,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: Data
     edges = alias_edges(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select("src", "dst"))
+    edges = edges.select(alias_key(F.col("src")).alias("src"), alias_key(F.col("dst")).alias("dst"))
     judged = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     judged = judged.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     classes = staged(components(staged(edges, "alias"), "alias"), "classes")
@@ -124,7 +133,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: Data
     members = classes.withColumn("action", best_rule(host(F.col("node")), path(F.col("node")), rules)["action"])
     decided = members.groupBy("component").agg(F.bool_or(F.col("action").eqNullSafe("block")).alias("blocked"), F.bool_or(F.col("action").eqNullSafe("allow")).alias("allowed"))
     passed = classes.join(decided, "component").select(F.col("node").alias("alias"), F.col("component").alias("class_url"), (F.col("blocked") & ~F.col("allowed")).alias("by_alias"))
-    rows = judged.join(passed, F.col("url") == F.col("alias"), "left")
+    rows = judged.join(passed, alias_key(F.col("url")) == F.col("alias"), "left")
     verdict = F.coalesce("best.action", F.when(F.col("by_alias"), "block"), F.lit("allow"))
     return rows.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "class_url")
 

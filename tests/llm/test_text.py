@@ -442,3 +442,59 @@ def test_relative_aliases(spark):
     pages = [(1, "http://a.org/x", '<link rel="canonical" href="//b.net/fr/1">'), (2, "http://a.org/y", '<meta http-equiv="refresh" content="0; url=/x">'), (3, "http://a.org/z", ""), (4, "nowhere", '<link rel="canonical" href="/fr/1">')]
     out = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["verdict"] for r in out} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_byte_level_decoding(spark):
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(5)
+    cases = [library.encode(x, add_special_tokens=False).ids for x in ("", "plain words", "naïve 漢字 🙂🙂 \u200d e\u0301", "a" * 999)]
+    # random ids give bytes that are no characters, and ends within one
+    cases += [[rng.randrange(256 if k % 2 else 50257) for _ in range(rng.randrange(60))] for k in range(400)]
+    for ids in cases:
+        machine = bpe.ByteDecoder(bpe.byte_pieces(path))
+        step = rng.randrange(1, 4)
+        got = b"".join(machine.feed(np.array(ids[i : i + step], "<u4")) for i in range(0, len(ids), step)) + machine.close()
+        assert got.decode() == library.decode(ids, skip_special_tokens=False)
+    rows = spark.createDataFrame([(1, bytearray(np.array(cases[2], "<u4").tobytes())), (2, None)], "doc_id long, ids binary")
+    assert {r["doc_id"]: r["text"] for r in bpe.decode_documents(rows, path).collect()} == {1: "naïve 漢字 🙂🙂 \u200d e\u0301", 2: ""}
+    assert bpe.byte_pieces(bpe.default_path()) is None
+
+
+def test_aliases_of_random_graphs(spark):
+    rng = random.Random(11)
+    urls = [f"http://h{i}.{rng.choice(['com', 'net', 'net', 'net', *['org'] * 6])}/{rng.choice(['es', 'fr', 'en', 'a'])}/{i}" for i in range(120)]
+    edges = [(rng.choice(urls), rng.choice(urls)) for _ in range(60)]
+    root = {u: u for u in urls}
+
+    def find(u):
+        while root[u] != u:
+            u = root[u]
+        return u
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+
+    def own(u):
+        top, path = u.split("/")[2].split(".")[1], u.split("/")[3]
+        return "allow" if top == "com" else "block" if top == "net" and path in ("es", "fr") else None
+
+    def verdict(u):
+        if own(u):
+            return own(u)
+        said = {own(x) for x in urls if find(x) == find(u)}
+        return "block" if "block" in said and "allow" not in said else "allow"
+
+    links = {}
+    for a, b in edges:
+        links.setdefault(a, []).append(b)
+    # some edges in the pages, written in other ways, and the rest from a crawl log
+    odd = lambda u: u.replace("http://h", "HTTP://H").replace(".org/", ".ORG:80/") + "#part"
+    pages = [(i, u, f'<!-- <link rel="canonical" href="http://x.net/es/0"> --><link rel="canonical" href="{odd(links[u][0])}">' if u in links else "<!-- refresh") for i, u in enumerate(urls)]
+    rest = [(a, b) for a, found in links.items() for b in found[1:]] or [(urls[0], urls[0])]
+    out = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), redirects=spark.createDataFrame(rest, "src string, dst string")).collect()
+    want = {i: verdict(u) for i, u in enumerate(urls)}
+    assert {r["page_id"]: r["verdict"] for r in out} == want and len({v for i, v in want.items() if own(urls[i]) is None}) == 2
