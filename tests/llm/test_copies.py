@@ -401,3 +401,32 @@ def test_tiled_vectors(monkeypatch):
         found |= new
     u = vector_join.unit_rows(x)
     assert found == {(a, b) for a in range(50) for b in range(a + 1, 50) if u[a] @ u[b] >= 0.95}
+
+
+def test_vectors_in_boxes(spark, monkeypatch):
+    """Boxes of few rows, more equal and similar vectors than a box holds, and visitors in several tasks."""
+    monkeypatch.setattr(vector_join, "FEW", 100)
+    monkeypatch.setattr(vector_join, "LEAST_BOX", 16)
+    monkeypatch.setattr(vector_join, "BOX_BYTES", 16 * 24 * 4)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 24))
+    many = np.concatenate([base[rng.integers(0, 60, 400)] + rng.normal(size=(400, 24)) * rng.choice([0, 0.1, 0.25, 0.3], (400, 1)), np.repeat(base[:1], 150, 0), base[1] + rng.normal(size=(150, 24)) * 0.1])
+    rows = [(i, [float(x) for x in v.astype(np.float32)]) for i, v in enumerate(many)]
+    rows += [(1000 + i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(30, 3)).astype(np.float32))] + [(2000, None)]
+    count, root = vector_brute(rows)
+    out = vector_join.vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == sorted((a, count[a], root[a]) for a, _ in rows)
+
+
+def test_boxes_bring_near_vectors_together():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 6)) * [1, 1, 0.5, 0.5, 0.2, 0]
+    for budget in (0.0, 0.05, 0.6):
+        boxes = vector_join.Boxes(x[:200], budget, 5)
+        rows, box, lives = boxes.places(x)
+        assert boxes.count > 8 and sorted(rows[lives]) == list(range(700))
+        home = dict(zip(rows[lives].tolist(), box[lives].tolist(), strict=True))
+        visits = set(zip(rows[~lives].tolist(), box[~lives].tolist(), strict=True))
+        near = ((x[:, None] - x[None]) ** 2).sum(2) <= budget
+        for i, j in zip(*(z.tolist() for z in np.nonzero(near)), strict=True):
+            assert home[i] >= home[j] or (i, home[j]) in visits
