@@ -26,7 +26,7 @@ THRESHOLD = 0.95
 FIT_SAMPLE = 8192
 BLOCKS = 4
 SLACK = 1e-6
-BOX_BYTES = 4 << 20  # of vectors that live in a task's box; visitors may take four times that
+BOX_BYTES = 8 << 20  # of vectors that live in a task's box; visitors may take four times that
 LEAST_BOX = 256  # rows
 DEPTH = 11  # of cuts, at most: a tree has at most 2048 boxes, and larger ones are dealt to several tasks
 FEW = 512  # vectors of a length that fewer have are compared in one task
@@ -288,7 +288,7 @@ def _links(rows: DataFrame, size: int, n: int, kind: type, threshold: float) ->
     spaces = Subspaces(sample, threshold)
     width = size * np.dtype(kind).itemsize
     lodgers = max(BOX_BYTES // width, LEAST_BOX)
-    depth = min(DEPTH, max(0, int(np.ceil(np.log2(n / min(lodgers, max(n // 8, LEAST_BOX)))))))
+    depth = min(DEPTH, max(0, int(np.ceil(np.log2(n / min(lodgers, max(-(-n // 4), LEAST_BOX)))))))
     turned = spaces.rotated(sample)
     boxes = [Boxes(turned[:, s], budget, depth) for s, budget in zip(spaces.blocks, spaces.budgets, strict=True)]
 
