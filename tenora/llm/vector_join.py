@@ -214,10 +214,13 @@ class Links:
         self.held = 0
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        self.n += np.bincount(i, minlength=len(self.n)) + np.bincount(j, minlength=len(self.n))
+        new = np.bincount(i, minlength=len(self.n)) + np.bincount(j, minlength=len(self.n))
+        self.n += new
         # a tile's pairs are kept as its forest alone
-        nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-        self.ends.append((nodes, nodes[forest(len(nodes), at[: len(i)], at[len(i) :])]))
+        nodes = np.flatnonzero(new)
+        at = np.zeros(len(new), np.int64)
+        at[nodes] = np.arange(len(nodes))
+        self.ends.append((nodes, nodes[forest(len(nodes), at[i], at[j])]))
         self.held += len(nodes)
         if self.held > 1 << 18:
             self.fold()
