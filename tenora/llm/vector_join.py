@@ -29,7 +29,7 @@ SLACK = 1e-6
 BOX_BYTES = 8 << 20  # of vectors that live in a task's box; visitors may take four times that
 LEAST_BOX = 256  # rows
 DEPTH = 11  # of cuts, at most: a tree has at most 2048 boxes, and larger ones are dealt to several tasks
-FEW = 512  # vectors of a length that fewer have are compared in one task
+FEW = 64  # vectors of a length that fewer have are compared in one task
 BAND = 1e-9  # decisions closer than this are taken again by sums whose rounding does not depend on the task
 
 
