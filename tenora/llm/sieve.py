@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,19 @@ def _tested(rows: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, Col
     bit = F.bitmap_bit_position(at)
     byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return tested, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)) & F.col(name).isNotNull()
+
+
+def bits_of(rows: DataFrame, key: Column) -> np.ndarray:
+    """A bitmap of the lowest bits of ``key``, a long, for use in Python workers: 4 MB at most, whatever the data."""
+    at = key.bitwiseAND(F.lit(BITS - 1)) + 1
+    maps = rows.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros((BITS >> 15, 1 << 12), np.uint8)
+    for row in maps.collect():
+        out[row["part"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which ``keys`` may be among those of :func:`bits_of`; those that were there always are."""
+    at = keys & (BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
