@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenora.llm import bpe, collocations, exact_dedup, jaccard_join, language_id, packing, pii, substring_dedup, token_files, url_filter, vector_join
+from tenora.llm import bpe, collocations, exact_dedup, jaccard_join, language_id, packing, pii, prefix_trie, substring_dedup, token_files, url_filter, vector_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": language_id.op9_language_id,
         "op10_repeated_passages": substring_dedup.op10_repeated_passages,
         "op11_collocations": collocations.op11_collocations,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op4_vector_components": vector_join.ORACLE_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL}
+    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op4_vector_components": vector_join.ORACLE_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL}
