@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenora.llm import bpe, collocations, exact_dedup, jaccard_join, language_id, packing, pii, prefix_trie, substring_dedup, token_files, url_filter, vector_join
+from tenora.llm import bpe, collocations, exact_dedup, jaccard_join, language_id, packing, pii, prefix_trie, substring_dedup, suffix_sort, token_files, url_filter, vector_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": language_id.op9_language_id,
         "op10_repeated_passages": substring_dedup.op10_repeated_passages,
         "op11_collocations": collocations.op11_collocations,
+        "op12_repeated_bytes": suffix_sort.op12_repeated_bytes,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
