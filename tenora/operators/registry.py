@@ -164,17 +164,29 @@ def issue_invitations(x: Fixture) -> DataFrame:
     return jobs.issue_invitations(commands, x.users, x.tenants, x.memberships, x.invitations)
 
 
+# attempts are walked through one by one within an address of a tenant, with the users and tokens taken so far; 
+# needs judged (command_id, ts, user_id, tenant_id, email, token_hash, code)
+_IN_TURN = """, able AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, email ORDER BY ts, command_id) AS n FROM judged WHERE code = 'accepted'),
+walk AS (
+  SELECT tenant_id, email, n, command_id, ts, user_id, token_hash, [user_id] AS users_in, [token_hash] AS tokens_used, true AS won FROM able WHERE n = 1
+  UNION ALL SELECT a.tenant_id, a.email, a.n, a.command_id, a.ts, a.user_id, a.token_hash,
+    CASE WHEN list_contains(users_in, a.user_id) OR list_contains(tokens_used, a.token_hash) THEN users_in ELSE list_append(users_in, a.user_id) END,
+    CASE WHEN list_contains(users_in, a.user_id) OR list_contains(tokens_used, a.token_hash) THEN tokens_used ELSE list_append(tokens_used, a.token_hash) END,
+    NOT (list_contains(users_in, a.user_id) OR list_contains(tokens_used, a.token_hash))
+  FROM walk w JOIN able a ON a.tenant_id = w.tenant_id AND a.email = w.email AND a.n = w.n + 1),
+winner AS (SELECT tenant_id, user_id, token_hash, (ts, command_id) AS at FROM walk WHERE won)
+SELECT c.command_id, CASE WHEN code IN ('user.not_provisioned', 'resource.not_found') THEN code WHEN u.at < (c.ts, c.command_id) THEN 'already_member' WHEN code = 'accepted' AND t.at < (c.ts, c.command_id) THEN 'invitation.already_accepted' ELSE code END AS outcome
+FROM judged c LEFT JOIN winner u ON u.tenant_id = c.tenant_id AND u.user_id = c.user_id LEFT JOIN winner t ON t.token_hash = c.token_hash"""
+_JUDGED = """judged AS (
+  SELECT c.command_id, c.ts, c.user_id, i.tenant_id, i.email, i.token_hash, CASE WHEN u.id IS NULL THEN 'user.not_provisioned' WHEN i.id IS NULL THEN 'resource.not_found' WHEN m.id IS NOT NULL THEN 'already_member'
+    WHEN revoked_at IS NOT NULL THEN 'invitation.revoked' WHEN accepted_at IS NOT NULL THEN 'invitation.already_accepted' WHEN expires_at <= c.ts THEN 'invitation.expired' WHEN i.email <> u.email THEN 'access.forbidden' ELSE 'accepted' END AS code
+  FROM cmds c LEFT JOIN open_i i ON i.token_hash = sha256(c.token) LEFT JOIN {users} u ON u.id = c.user_id LEFT JOIN part_m m ON m.tenant_id = i.tenant_id AND m.user_id = c.user_id)"""
+
+
 @query(""", part_m AS (SELECT * FROM memberships WHERE (tenant_id + user_id) % 3 <> 0), cmds AS (
   SELECT o_orderkey AS command_id, 'tok-' || o_orderkey AS token, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 100000000 ELSE o_custkey END AS user_id, o_orderdate + to_days(CAST(o_orderkey % 10 AS INTEGER)) AS ts FROM orders
   UNION ALL SELECT o_orderkey + 1000000000, 'tok-' || o_orderkey, o_custkey + 1, o_orderdate + INTERVAL 3 DAY FROM orders WHERE o_orderkey % 3 = 0),
-open_i AS (SELECT * REPLACE (CASE WHEN id % 4 = 0 THEN accepted_at END AS accepted_at, CASE WHEN id % 4 = 1 THEN revoked_at END AS revoked_at) FROM invitations),
-judged AS (
-  SELECT c.command_id, c.ts, c.user_id, i.tenant_id, i.token_hash, CASE WHEN u.id IS NULL THEN 'user.not_provisioned' WHEN i.id IS NULL THEN 'resource.not_found' WHEN m.id IS NOT NULL THEN 'already_member'
-    WHEN revoked_at IS NOT NULL THEN 'invitation.revoked' WHEN accepted_at IS NOT NULL THEN 'invitation.already_accepted' WHEN expires_at <= c.ts THEN 'invitation.expired' WHEN i.email <> u.email THEN 'access.forbidden' ELSE 'accepted' END AS code
-  FROM cmds c LEFT JOIN open_i i ON i.token_hash = sha256(c.token) LEFT JOIN users u ON u.id = c.user_id LEFT JOIN part_m m ON m.tenant_id = i.tenant_id AND m.user_id = c.user_id), prior AS (
-  SELECT *, coalesce(max(CASE WHEN code = 'accepted' THEN 1 ELSE 0 END) OVER (PARTITION BY tenant_id, user_id ORDER BY ts, command_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS joined,
-    coalesce(max(CASE WHEN code = 'accepted' THEN 1 ELSE 0 END) OVER (PARTITION BY token_hash ORDER BY ts, command_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM judged)
-SELECT command_id, CASE WHEN code IN ('user.not_provisioned', 'resource.not_found') THEN code WHEN joined = 1 THEN 'already_member' WHEN code = 'accepted' AND used = 1 THEN 'invitation.already_accepted' ELSE code END AS outcome FROM prior""")
+open_i AS (SELECT * REPLACE (CASE WHEN id % 4 = 0 THEN accepted_at END AS accepted_at, CASE WHEN id % 4 = 1 THEN revoked_at END AS revoked_at) FROM invitations), """ + _JUDGED.format(users="users") + _IN_TURN)
 def accept_invitations(x: Fixture) -> DataFrame:
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     token = F.concat(F.lit("tok-"), key).alias("token")
@@ -186,6 +198,24 @@ def accept_invitations(x: Fixture) -> DataFrame:
     return jobs.accept_invitations(first.unionByName(second), x.users, some, live)
 
 
+@query(""", part_m AS (SELECT * FROM memberships WHERE user_id % 8 = 0), team AS (SELECT * REPLACE ('team' || id // 8 || '@example.com' AS email) FROM users),
+open_i AS (SELECT * REPLACE (tenant_id % 10 AS tenant_id, 'team' || (id % 40) || '@example.com' AS email, TIMESTAMP '2030-01-01' AS expires_at, CASE WHEN id % 50 = 0 THEN accepted_at END AS accepted_at, CASE WHEN id % 50 = 1 THEN revoked_at END AS revoked_at) FROM invitations),
+cmds AS (SELECT o_orderkey * 4 + k AS command_id, 'tok-' || o_orderkey AS token, o_orderkey % 40 * 8 + (o_orderkey // 40 * 3 + k * 5) % 8 AS user_id, o_orderdate + to_days(CAST((o_orderkey * 7 + k * 11) % 30 AS INTEGER)) AS ts FROM orders, range(0, 4) t(k) WHERE o_orderkey % 60 < 45),
+""" + _JUDGED.format(users="team") + _IN_TURN)
+def accept_contested_invitations(x: Fixture) -> DataFrame:
+    """Addresses that eight users share, each with many invitations of one tenant: attempts are refused that would have kept others from winning."""
+    key, k = F.col("o_orderkey"), F.col("k")
+    orders = x.table("orders").where(key % 60 < 45).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    mate = (F.expr("o_orderkey div 40") * 3 + k * 5) % 8
+    commands = orders.select((key * 4 + k).alias("command_id"), F.concat(F.lit("tok-"), key).alias("token"), (key % 40 * 8 + mate).alias("user_id"), (F.col("o_orderdate") + F.make_dt_interval(((key * 7 + k * 11) % 30).cast("int"))).alias("ts"))
+    team = x.users.withColumn("email", F.concat(F.lit("team"), F.expr("id div 8"), F.lit("@example.com")))
+    live = x.invitations.withColumns({
+        "tenant_id": F.col("tenant_id") % 10, "email": F.concat(F.lit("team"), F.col("id") % 40, F.lit("@example.com")), "expires_at": F.lit("2030-01-01").cast("timestamp_ntz"),
+        "accepted_at": F.when(F.col("id") % 50 == 0, F.col("accepted_at")), "revoked_at": F.when(F.col("id") % 50 == 1, F.col("revoked_at")),
+    })
+    return jobs.accept_invitations(commands, team, x.memberships.where(F.col("user_id") % 8 == 0), live)
+
+
 @query("""SELECT i.o_orderkey AS command_id, CASE WHEN i.o_orderkey % 7 = 0 THEN 'resource.not_found' WHEN v.accepted_at IS NOT NULL THEN 'invitation.already_accepted' END AS error_code,
   CASE WHEN i.o_orderkey % 7 = 0 OR v.accepted_at IS NOT NULL THEN NULL ELSE coalesce(v.revoked_at, as_of) END AS revoked_at FROM params, order_tenants i JOIN invitations v ON v.id = i.o_orderkey""")
 def revoke_invitations(x: Fixture) -> DataFrame:
