@@ -269,11 +269,33 @@ def delete_tenants(x: Fixture) -> DataFrame:
     return jobs.union_all(df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_left")) for name, df in left.items())
 
 
-@query()
+# commands are walked through one by one within a tenant, with the roles of all who occur in them and the number of owners
+_REPLAY = """, cmds AS (SELECT o_orderkey AS command_id, tenant_id, owner_id AS actor_id, CASE WHEN o_orderpriority = '5-LOW' THEN owner_id ELSE o_custkey END AS target_id, o_orderdate AS ts,
+    CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'set_role' WHEN o_orderpriority = '5-LOW' THEN 'leave' ELSE 'remove' END AS kind, CASE o_orderpriority WHEN '1-URGENT' THEN 30 WHEN '2-HIGH' THEN 20 WHEN '3-MEDIUM' THEN 10 END AS role
+  FROM order_tenants JOIN owners USING (tenant_id)),
+turns AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, command_id) AS n FROM cmds),
+involved AS (SELECT tenant_id, map_from_entries(list((user_id, role))) AS roles, count(*) FILTER (role = 30) AS n_owners FROM memberships WHERE (tenant_id, user_id) IN (SELECT (tenant_id, actor_id) FROM cmds UNION SELECT (tenant_id, target_id) FROM cmds) GROUP BY 1),
+walk AS (
+  SELECT tenant_id, 0::BIGINT AS n, NULL::BIGINT AS command_id, NULL::VARCHAR AS outcome, roles, n_owners FROM involved
+  UNION ALL SELECT tenant_id, n, command_id, outcome, CASE WHEN writes THEN map_concat(roles, MAP {target_id: after}) ELSE roles END, n_owners + CASE WHEN writes THEN (coalesce(after, 0) = 30)::INT - (theirs = 30)::INT ELSE 0 END
+  FROM (SELECT *, outcome = 'ok' AND theirs IS DISTINCT FROM after AS writes FROM (
+    SELECT t.*, w.roles, w.n_owners, own, theirs, CASE WHEN kind = 'set_role' THEN t.role END AS after, CASE WHEN own IS NULL THEN 'resource.not_found'
+      WHEN kind <> 'leave' AND own < CASE kind WHEN 'set_role' THEN 30 ELSE 20 END THEN 'access.forbidden' WHEN theirs IS NULL THEN 'resource.not_found'
+      WHEN kind = 'remove' AND own = 20 AND theirs >= 20 AND target_id <> actor_id THEN 'access.forbidden' WHEN theirs = 30 AND (kind <> 'set_role' OR t.role <> 30) AND w.n_owners <= 1 THEN 'tenant.last_owner' ELSE 'ok' END AS outcome
+    FROM (SELECT *, n + 1 AS next FROM walk) w JOIN turns t ON t.tenant_id = w.tenant_id AND t.n = w.next, LATERAL (SELECT w.roles[t.actor_id] AS own, w.roles[t.target_id] AS theirs)))) """
+
+
+@query(_REPLAY + "SELECT tenant_id, command_id, outcome FROM walk WHERE n > 0")
 def replay_membership_commands(x: Fixture) -> DataFrame:
     return replay.replay_membership_commands(x.memberships, x.commands)[0]
 
 
+@query(_REPLAY + """, final AS (SELECT tenant_id, unnest(map_keys(roles)) AS user_id, unnest(map_values(roles)) AS role FROM walk QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY n DESC) = 1)
+SELECT m.tenant_id, m.user_id, CASE WHEN f.user_id IS NULL THEN m.role ELSE f.role END AS role FROM memberships m LEFT JOIN final f USING (tenant_id, user_id) WHERE f.user_id IS NULL OR f.role IS NOT NULL""")
+def members_after_commands(x: Fixture) -> DataFrame:
+    return replay.replay_membership_commands(x.memberships, x.commands)[1]
+
+
 @query("""
 , u AS (SELECT 'unique open invitations(tenant_id,email)' AS rule, tenant_id || '/' || email AS key, count(*) AS n_rows FROM invitations WHERE accepted_at IS NULL AND revoked_at IS NULL GROUP BY tenant_id, email HAVING count(*) > 1
   UNION ALL SELECT 'report shared addresses', '*', count(*) FROM (SELECT email FROM users GROUP BY 1 HAVING count(*) > 1)
