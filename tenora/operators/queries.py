@@ -107,8 +107,8 @@ def authorize(role: Column, required: Column) -> Column:
 
 
 def access_check(requests: DataFrame, users: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Requests (event_id, firebase_uid, tenant_id, required) with the caller's role and the outcome."""
-    u = users.select("firebase_uid", F.col("id").alias("user_id"))
+    """Requests (event_id, firebase_uid, tenant_id, required) with the caller's role and the outcome. Two users of one uid are a fault."""
+    u = at_most_one(users.select("firebase_uid", F.col("id").alias("user_id")), "firebase_uid")
     m = memberships.select("tenant_id", "user_id", "role")
     rows = requests.join(u, "firebase_uid", "left").join(m, ["tenant_id", "user_id"], "left")
     return rows.select("event_id", "tenant_id", "user_id", role_name(F.col("role")).alias("role"), F.coalesce(authorize(F.col("role"), F.col("required")), F.lit("ok")).alias("outcome"))
@@ -190,6 +190,12 @@ def rate_limit(requests: DataFrame, permit: Column, seconds: int) -> DataFrame:
     )
 
 
+def requests_per_window(requests: DataFrame, seconds: int = 60) -> DataFrame:
+    """Requests per caller, policy and fixed window (window_start, from the epoch)."""
+    begin = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds) * seconds).cast("timestamp_ntz")
+    return requests.groupBy(begin.alias("window_start"), "caller", "policy").agg(F.count("*").alias("n"))
+
+
 def validation_report(messages: DataFrame) -> DataFrame:
     """One row for each distinct (command_id, field, message) that a command's name, email or role fails on."""
     from tenora.functions.columns import email_shape, stripped

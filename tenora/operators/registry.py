@@ -70,6 +70,16 @@ def user_profiles(x: Fixture) -> DataFrame:
     return queries.user_profiles(x.users, x.memberships, x.tenants)
 
 
+@query(COUNTS + f""" SELECT u.id AS user_id, u.email, u.email_verified, u.display_name, CAST(count(m.id) OVER (PARTITION BY u.id) AS INTEGER) AS n_organizations,
+  CAST(CASE WHEN m.id IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY u.id ORDER BY m.created_at, m.id) END AS INTEGER) AS position, m.tenant_id, t.name, t.slug, {ROLE} AS role, c.member_count
+FROM users u LEFT JOIN memberships m ON m.user_id = u.id LEFT JOIN tenants t ON t.id = m.tenant_id LEFT JOIN counts c ON c.tenant_id = m.tenant_id""")
+def user_profile_rows(x: Fixture) -> DataFrame:
+    """The nested profiles, one row for each organization; users without one keep a row."""
+    p = queries.user_profiles(x.users, x.memberships, x.tenants)
+    rows = p.select("user_id", "email", "email_verified", "display_name", F.size("organizations").alias("n_organizations"), F.explode_outer("organizations").alias("o"))
+    return rows.select("user_id", "email", "email_verified", "display_name", "n_organizations", F.coalesce("o.position", F.lit(0)).alias("position"), "o.tenant_id", "o.name", "o.slug", "o.role", "o.member_count")
+
+
 @query(f"SELECT tenant_id, id, email, {ROLE} AS role, expires_at, created_at FROM invitations, params WHERE accepted_at IS NULL AND revoked_at IS NULL AND expires_at > as_of")
 def open_invitations(x: Fixture) -> DataFrame:
     return queries.open_invitations(x.invitations, as_of())
@@ -225,12 +235,12 @@ def revoke_invitations(x: Fixture) -> DataFrame:
 
 
 @query(""", old AS (SELECT * FROM users WHERE id % 2 = 0), new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY firebase_uid ORDER BY ts DESC, event_id DESC) AS n FROM sign_ins) WHERE n = 1)
-SELECT coalesce(o.firebase_uid, n.firebase_uid) AS firebase_uid, o.id, CASE WHEN n.event_id IS NULL THEN o.email ELSE n.email END AS email, CASE WHEN n.event_id IS NULL THEN o.email_verified ELSE n.email_verified END AS email_verified,
+SELECT coalesce(o.firebase_uid, n.firebase_uid) AS firebase_uid, coalesce(o.id, 1000000000 + CAST(substr(n.firebase_uid, 5) AS BIGINT)) AS id, CASE WHEN n.event_id IS NULL THEN o.email ELSE n.email END AS email, CASE WHEN n.event_id IS NULL THEN o.email_verified ELSE n.email_verified END AS email_verified,
   CASE WHEN n.event_id IS NULL THEN o.display_name END AS display_name, CASE WHEN n.event_id IS NULL THEN o.last_seen_at ELSE n.ts END AS last_seen_at, coalesce(o.created_at, as_of) AS created_at, CASE WHEN n.event_id IS NULL THEN o.updated_at ELSE as_of END AS updated_at,
   o.id IS NULL AS inserted, n.event_id IS NOT NULL AND o.id IS NOT NULL AND (n.email <> o.email OR n.email_verified <> o.email_verified OR o.display_name IS NOT NULL) AS profile_changed
 FROM old o FULL JOIN new n ON o.firebase_uid = n.firebase_uid CROSS JOIN params""")
 def upsert_users(x: Fixture) -> DataFrame:
-    return jobs.upsert_users(x.users.where(F.col("id") % 2 == 0), x.sign_ins, as_of())
+    return jobs.upsert_users(x.users.where(F.col("id") % 2 == 0), x.sign_ins, as_of(), F.substring("firebase_uid", 5, 19).cast("long") + 1000000000)
 
 
 @query(""", cmds AS (SELECT p_partkey AS command_id, p_name AS name, u.id AS uid, u.email_verified AS ok, rtrim(left(trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', '-', 'g'), '-'), 48), '-') AS base FROM part LEFT JOIN users u ON u.id = p_partkey * 2),
@@ -360,6 +370,11 @@ def request_classification(x: Fixture) -> DataFrame:
     return queries.request_classification(rows)
 
 
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, caller, policy, count(*) AS n FROM requests GROUP BY ALL")
+def requests_per_window(x: Fixture) -> DataFrame:
+    return queries.requests_per_window(x.requests, 3600)
+
+
 @query("""SELECT event_id, caller, policy, n <= 5 AS admitted, CASE WHEN n > 5 THEN 429 END AS status, CASE WHEN n > 5 THEN 'quota.rate_limited' END AS error_code, CASE WHEN n > 5 THEN CAST(ceil((86400000000 - epoch_us(ts) % 86400000000) / 1000000.0) AS BIGINT) END AS retry_after
 FROM (SELECT *, row_number() OVER (PARTITION BY caller, policy, epoch_us(ts) // 86400000000 ORDER BY ts, event_id) AS n FROM requests)""")
 def rate_limit(x: Fixture) -> DataFrame:

@@ -6,9 +6,9 @@ the state it keeps (:class:`TenantState`).
 
 from __future__ import annotations
 
-import json
 from collections import Counter
-from dataclasses import asdict, dataclass, field
+from collections.abc import MutableMapping
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import pandas as pd
@@ -19,7 +19,7 @@ from tenora.plans.staging import staged
 from tenora.sources.schemas import ADMIN, OWNER, ROLE_NAMES
 
 
-@dataclass
+@dataclass(frozen=True)
 class Invite:
     email: str
     role: int
@@ -28,25 +28,21 @@ class Invite:
     revoked: bool = False
 
 
-@dataclass
-class TenantState:
-    """One tenant's members (user to role) and invitations (id to state), with the number of owners and the open addresses."""
+def _is_open(one: Invite) -> bool:
+    return not one.accepted and not one.revoked
 
-    roles: dict[int, int] = field(default_factory=dict)
-    invites: dict[int, Invite] = field(default_factory=dict)
 
-    def __post_init__(self) -> None:
-        self.owners = sum(r == OWNER for r in self.roles.values())
-        self.open = Counter(i.email for i in self.invites.values() if not i.accepted and not i.revoked)
+class TenantState:
+    """One tenant's members (user to role), invitations (id to state) and numbers of open ones by address, with the number of owners.
 
-    def to_json(self) -> str:
-        return json.dumps({"roles": self.roles, "invites": {k: asdict(i) | {"expires_at": i.expires_at.isoformat()} for k, i in self.invites.items()}})
+    The three are dictionaries, or stand for kept state of which only what a command touches is read and written.
+    """
 
-    @classmethod
-    def from_json(cls, text: str) -> TenantState:
-        kept = json.loads(text)
-        invites = {int(k): Invite(**(i | {"expires_at": pd.Timestamp(i["expires_at"])})) for k, i in kept["invites"].items()}
-        return cls({int(u): r for u, r in kept["roles"].items()}, invites)
+    def __init__(self, roles: MutableMapping[int, int] | None = None, invites: MutableMapping[int, Invite] | None = None, open_: MutableMapping[str, int] | None = None, owners: int | None = None):
+        self.roles = {} if roles is None else roles
+        self.invites = {} if invites is None else invites
+        self.open = dict(Counter(i.email for i in self.invites.values() if not i.accepted and not i.revoked)) if open_ is None else open_
+        self.owners = sum(r == OWNER for r in self.roles.values()) if owners is None else owners
 
     def put(self, user: int, role: int | None) -> None:
         """Give a user a role, or none any more."""
@@ -54,9 +50,17 @@ class TenantState:
         if role is not None:
             self.roles[user] = role
 
-    def invite(self, invitation: int, email: str, role: int, ts: pd.Timestamp) -> None:
-        self.invites[invitation] = Invite(email, role, ts + pd.Timedelta(days=7))
-        self.open[email] += 1
+    def invite(self, invitation: int, one: Invite) -> None:
+        """Take in an invitation, or its new state."""
+        old = self.invites.get(invitation)
+        change = _is_open(one) - (old is not None and _is_open(old))
+        if change:
+            n = self.open.get(one.email, 0) + change
+            if n:
+                self.open[one.email] = n
+            else:
+                del self.open[one.email]
+        self.invites[invitation] = one
 
     def _losing_last(self, user: int, role: int | None) -> bool:
         return self.roles[user] == OWNER and role != OWNER and self.owners <= 1
@@ -89,8 +93,7 @@ class TenantState:
             if found.accepted:
                 return "invitation.already_accepted"
             if not found.revoked:
-                found.revoked = True
-                self.open[found.email] -= 1
+                self.invite(invitation, replace(found, revoked=True))
             return "ok"
         return "request.validation_failed"
 
@@ -118,9 +121,9 @@ class TenantState:
             return "request.validation_failed"
         if own < OWNER <= role:
             return "access.forbidden"
-        if self.open[email] > 0:
+        if self.open.get(email, 0) > 0:
             return "invitation.already_pending"
-        self.invite(invitation, email, role, ts)
+        self.invite(invitation, Invite(email, role, ts + pd.Timedelta(days=7)))
         return "ok"
 
     def _accept(self, user: int, invitation: int | None, email: str | None, ts) -> str:
@@ -132,8 +135,7 @@ class TenantState:
         for failed, code in ((found.revoked, "invitation.revoked"), (found.accepted, "invitation.already_accepted"), (found.expires_at <= ts, "invitation.expired"), (found.email != email, "access.forbidden")):
             if failed:
                 return code
-        found.accepted = True
-        self.open[found.email] -= 1
+        self.invite(invitation, replace(found, accepted=True))
         self.put(user, found.role)
         return "ok"
 
