@@ -26,7 +26,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +36,9 @@ from tenora.plans.staging import fresh, staged
 LENGTH = 400
 SPAN = 96  # places among which a window's anchor is chosen
 GRAM = 16
-CHUNK = 1 << 20  # bytes hashed at once; longer texts are cut, with an overlap
-RUN = 1 << 16  # suffixes in a sorted run
-RANGE = 1 << 16  # suffixes in a range of the merge, about
+CHUNK = 1 << 19  # bytes hashed at once; longer texts are cut, with an overlap
+RUN = 1 << 15  # suffixes in a sorted run
+RANGE = 1 << 15  # suffixes in a range of the merge, about
 SAMPLE = 1 << 17  # keys sampled for splitters at most: 64 MB
 _R1, _R2, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F | 1, np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -148,18 +148,20 @@ def _heads(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _repeated(docs: DataFrame, heads: DataFrame, length: int) -> DataFrame:
-    """Stretches whose head occurs twice: head, x1, x2, row, lo, hi."""
+    """Stretches whose head occurs twice, and some others: head, x1, x2, row, lo, more (windows after the first).
+
+    What a bitmap lets pass by chance has no equal, and needn't be joined away: it makes a kind of its own, of which there is one.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(bits_of(heads, F.col("head")))
-    names = ["head", "x1", "x2", "row", "lo", "hi"]
+    names = ["head", "x1", "x2", "row", "lo"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _stretches(batches, length):
             at = np.flatnonzero(has_bit(bits.value, s["head"]))
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(s[c][at]) for c in names], names)
+                yield pa.RecordBatch.from_arrays([*[pa.array(s[c][at]) for c in names], pa.array((s["hi"] - s["lo"])[at].astype(np.int16))], [*names, "more"])
 
-    found = docs.select("row", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    return found.join(heads, "head", "left_semi")
+    return docs.select("row", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", more short")
 
 
 def _mark(x1: Column, row: Column, lo: Column) -> Column:
@@ -403,16 +405,17 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     if not 3 * SPAN <= length <= 1 << 14:
         raise ValueError(f"length must be between {3 * SPAN} and {1 << 14}")
     heads = staged(_heads(texts, length), "heads")
-    found = staged(_repeated(texts, heads, length), "repeated")
-    kinds = staged(found.groupBy("head", "x1", "x2").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo")).alias("one")), "kinds")
-    whole = found.join(kinds.where("n > 1").select("x1", "x2"), ["x1", "x2"], "left_semi").select("row", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
+    found = staged(_repeated(texts, heads, length), "repeated", "zstd")
+    kinds = staged(found.groupBy("head", "x1", "x2").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo")).alias("one")), "kinds", "zstd")
+    whole = found.select("x1", "x2", "row", "lo", "more").join(kinds.where("n > 1").select("x1", "x2"), ["x1", "x2"], "left_semi")
+    whole = whole.select("row", F.col("lo").alias("begin"), (F.col("lo") + F.col("more") + length).alias("end"))
     several = kinds.groupBy("head").agg(F.count("*").alias("m")).where("m > 1").select("head")
     wanted = staged(kinds.join(several, "head", "left_semi").select("x1", "x2", "one.row", "one.lo", "n"), "wanted")
     if wanted.isEmpty():
         return whole
-    suffixes = staged(_suffixes(texts, wanted, length).withColumn("id", F.monotonically_increasing_id()), "suffixes")
+    suffixes = staged(_suffixes(texts, wanted, length).withColumn("id", F.monotonically_increasing_id()), "suffixes", "zstd")
     splitters = _splitters(suffixes, suffixes.count())
-    merged = staged(_merged(staged(_sorted_runs(suffixes, splitters), "runs"), splitters, length), "merged")
+    merged = staged(_merged(staged(_sorted_runs(suffixes, splitters), "runs", "zstd"), splitters, length), "merged")
     between = merged.where("w1 IS NOT NULL")
     twice = between.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2")
     equal = merged.where("w1 IS NULL").select("id", "first", "last").unionByName(between.join(twice, ["w1", "w2"], "left_semi").select("id", "first", "last"))
@@ -421,24 +424,17 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.unionByName(parts)
 
 
-_SPAN = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
+_SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-@F.pandas_udf(T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN))]))
-def _cut(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
-    out = []
-    for text, begin, end in zip(texts, begins, ends, strict=True):
-        data, at, kept, spans = (text or "").encode(), 0, [], []
-        for b, e in sorted(zip(begin, end, strict=True)):
-            if spans and b <= spans[-1]["end"]:
-                spans[-1]["end"] = max(spans[-1]["end"], int(e))
-            else:
-                spans.append({"begin": int(b), "end": int(e)})
-        for span in spans:
-            kept.append(data[at : span["begin"]])
-            at = span["end"]
-        out.append((b"".join([*kept, data[at:]]), sum(s["end"] - s["begin"] for s in spans), spans))
-    return pd.DataFrame(out, columns=["kept", "n_removed", "spans"])
+def _merged_spans(found: DataFrame) -> DataFrame:
+    """The maximal runs of each row's spans: row, spans in order."""
+    order = Window.partitionBy("row").orderBy("begin", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("begin") <= before, 0).otherwise(1)
+    runs = found.withColumn("run", new).withColumn("run", F.sum("run").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("row", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
@@ -449,13 +445,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -
     one gets an underscore. An empty table gives no rows.
     """
     row, cut, spans = fresh(docs, "row"), fresh(docs, "cut"), fresh(docs, "spans")
-    stored = staged(docs.withColumn(row, F.monotonically_increasing_id()), "texts")
+    stored = staged(docs.withColumn(row, F.monotonically_increasing_id()), "texts", "zstd")
     found = repeated_spans(stored.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text")).where(F.octet_length("text") >= length), length)
-    per = staged(found.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("begin", "end")).alias(spans)), "spans")
+    per = staged(_merged_spans(found).select(F.col("row").alias(row), F.col("spans").alias(spans)), "spans")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    hit = roughly(stored, per, row).join(per, row)
-    hit = hit.select(*columns, _cut(F.col(f"`{text}`"), F.col(spans)["begin"], F.col(spans)["end"]).alias(cut))
-    none = F.struct(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(T.ArrayType(_SPAN)).alias("spans"))
+    data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    runs = F.col(spans)
+    # what lies before each run and after the last one, put together as hexadecimal text, as only text can be joined
+    gaps = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), runs["end"]), F.concat(runs["begin"], F.array(F.octet_length(data).cast("long"))), lambda b, e: F.hex(F.substring(data, (b + 1).cast("int"), (e - b).cast("int"))))
+    removed = F.aggregate(runs, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    hit = roughly(stored, per, row).join(per, row).select(*columns, F.struct(F.unhex(F.array_join(gaps, "")).alias("kept"), removed.alias("n_removed"), runs.cast(_SPANS).alias("spans")).alias(cut))
+    none = F.struct(data.alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(_SPANS).alias("spans"))
     return without(stored, per, row).select(*columns, none.alias(cut)).unionByName(hit)
 
 
