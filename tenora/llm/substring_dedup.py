@@ -9,7 +9,9 @@ verified on all its shingles.
 
 Windows outside all passages found go on to a second round, as the first of their group may be a document that shares a short
 quote alone: there, two windows of different functions that overlap in a document make one signature, which such a quote
-seldom has.
+seldom has. In a third round, every stretch of a passage's least length that lies in a colliding window and in no passage found yet
+is named by all its shingles. Word-for-word repeats meet there in any case, whatever other documents share parts of them, as all that
+have such a name are equal to the first that has it.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ HASHES = 6
 MATCHES = 2  # of a passage with similarity s, HASHES * s windows collide on average
 _PLACES = np.uint64((1 << 20) - 1)
 _SEEDS = np.random.default_rng(20240302).integers(1, 1 << 63, 64, np.uint64)
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
 RUN = 2048
 _WIDE = 64  # places that words put in or left out may move a collision off its neighbours' diagonal
 
@@ -270,8 +274,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Words are runs of characters other than ASCII blanks, counted from 0; ``last_word`` is included. A passage repeats if
     another document has one with a Jaccard similarity of word five-grams of ``percent`` hundredths or more, over
     ``least_words`` words or more. Overlapping stretches of a document are one. ``source_id`` is the smallest document it was
-    matched with, itself included; ``kept`` says that it is the document itself. Exact repeats collide in all windows; of similar
-    ones, those with fewer than ``matches`` colliding windows are missed. Null, empty and short texts, and null ids, give no row. Rows
+    matched with, itself included; ``kept`` says that it is the document itself. Word-for-word repeats are all found. Of similar
+    ones, those with fewer than ``matches`` colliding windows are missed, and those whose windows, alone and in twos, all stand behind
+    a document that shares less than a passage. Null, empty and short texts, and null ids, give no row. Rows
     that repeat an id count as one document: no passage is reported between them. An empty table gives an empty result.
     """
     span = least_words - WORDS + 1
@@ -296,7 +301,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     left = _uncovered(shared, _sound(spans.unionByName(whole)))
     twice = _met(_paired(left, hashes))
     more = staged(_verified(staged(_candidates(twice, max(2, matches - 1)), "candidates"), docs, span, percent), "spans")
-    return _merged(_sound(spans.unionByName(more).unionByName(whole)))
+    # what repeats word for word and has met only documents that share a part of it
+    exact = _met(_named(_open_places(shared, _sound(spans.unionByName(more).unionByName(whole)), span), searched, span))
+    last = staged(_verified(staged(_candidates(exact, 1), "candidates"), docs, span, percent), "spans")
+    return _merged(_sound(spans.unionByName(more).unionByName(last).unionByName(whole)))
 
 
 def _whole_copies(docs: DataFrame, copies: DataFrame, span: int) -> DataFrame:
@@ -395,6 +403,37 @@ def _uncovered(met: DataFrame, spans: DataFrame) -> DataFrame:
     return met.join(whole, (F.col("doc_id") == F.col("in")) & (centre >= F.col("begin")) & (centre < F.col("end")), "left_anti")
 
 
+def _open_places(met: DataFrame, spans: DataFrame, span: int) -> DataFrame:
+    """Where stretches of ``span`` shingles begin that no stretch found holds: doc_id, places (first, last). Each lies in one window of the first function."""
+    whole = staged(_stretches(spans), "stretches").select(F.col("doc_id").alias("in"), "begin", "end")
+    first = F.shiftright("place", 32) - F.shiftright("place", 12).bitwiseAND(F.lit(4095))
+    windows = met.where(F.shiftright("place", 24).bitwiseAND(F.lit(255)) == 0).select("doc_id", first.alias("first"), (first + F.col("place").bitwiseAND(F.lit(4095))).alias("last"))
+    left = windows.join(whole, (F.col("doc_id") == F.col("in")) & (F.col("first") >= F.col("begin")) & (F.col("last") + span <= F.col("end")), "left_anti")
+    return staged(left.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("places")), "places")
+
+
+def _named(places: DataFrame, docs: DataFrame, span: int) -> DataFrame:
+    """Entries (key, doc_id, place) of stretches of ``span`` shingles, named by all of them, that begin at the given places."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            for begin, group in in_groups(batch.column(1).to_pylist()):
+                lengths, rows = _rows(group)
+                starts = np.cumsum(lengths) - lengths
+                up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(rows), x, np.uint64)])) for x in (_STEP, _BACK))
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(rows * up[:-1])])
+                for t, (start, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
+                    ends = wanted[begin + t].values
+                    at = np.unique(np.concatenate([np.arange(f, min(z, n - span) + 1) for f, z in zip(ends.field(0).to_pylist(), ends.field(1).to_pylist(), strict=True)] or [np.zeros(0, np.int64)]))
+                    if len(at):
+                        key = mixed((sums[start + at + span] - sums[start + at]) * down[start + at])
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(at), ids[begin + t]), pa.int64()), pa.array(packed(at, at, at), pa.int64())], ["key", "doc_id", "place"])
+
+    rows = roughly(docs, places, "doc_id").join(places, "doc_id").select("doc_id", "text", "places")
+    return rows.mapInArrow(name, "key long, doc_id long, place long")
+
+
 def _sound(spans: DataFrame) -> DataFrame:
     """Spans without those inside one document of a passage that no other document has."""
     other = spans.where("a != b")

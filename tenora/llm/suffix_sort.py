@@ -454,7 +454,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -
     # what lies before each run and after the last one, put together as hexadecimal text, as only text can be joined
     gaps = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), runs["end"]), F.concat(runs["begin"], F.array(F.octet_length(data).cast("long"))), lambda b, e: F.hex(F.substring(data, (b + 1).cast("int"), (e - b).cast("int"))))
     removed = F.aggregate(runs, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
-    hit = roughly(stored, per, row).join(per, row).select(*columns, F.struct(F.unhex(F.array_join(gaps, "")).alias("kept"), removed.alias("n_removed"), runs.cast(_SPANS).alias("spans")).alias(cut))
+    # texts and spans always meet by a merge, so that small and large tables take one way
+    hit = roughly(stored, per, row).join(per.hint("merge"), row).select(*columns, F.struct(F.unhex(F.array_join(gaps, "")).alias("kept"), removed.alias("n_removed"), runs.cast(_SPANS).alias("spans")).alias(cut))
     none = F.struct(data.alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(_SPANS).alias("spans"))
     return without(stored, per, row).select(*columns, none.alias(cut)).unionByName(hit)
 

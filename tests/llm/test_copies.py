@@ -430,3 +430,58 @@ def test_boxes_bring_near_vectors_together():
         near = ((x[:, None] - x[None]) ** 2).sum(2) <= budget
         for i, j in zip(*(z.tolist() for z in np.nonzero(near)), strict=True):
             assert home[i] >= home[j] or (i, home[j]) in visits
+
+
+def test_word_for_word_repeats_behind_quotes(spark):
+    """Passages in two documents each, parts of which many documents with smaller ids hold."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    some = lambda n: [word() for _ in range(n)]
+    passages = [some(60) for _ in range(60)]
+    rows = []
+    for p in passages:
+        for _ in range(24):
+            at = rnd.randrange(0, 27)
+            rows.append(some(30) + p[at : at + 34] + some(30))
+    first = len(rows)
+    for p in passages:
+        rows += [some(40) + p + some(20), some(10) + p + some(50)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["first_word"], r["last_word"]) for r in substring_dedup.repeated_passages(df).collect() if r["doc_id"] >= first}
+    for k in range(len(passages)):
+        for i, before in ((first + 2 * k, 40), (first + 2 * k + 1, 10)):
+            begin, end = got[i]
+            assert begin <= before and end >= before + 59
+
+
+def test_near_copies_judges_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    near = [*words[:59], "other"]
+    rows = [(3, " ".join(words)), (7, " ".join(near)), (7, "something else that stands alone in this table"), (None, " ".join(near)), (None, None), (9, "")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, row int, source string")
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], (r["text"] or "")[:9]) for r in kept.collect()), key=str)
+    assert got == sorted([(3, " ".join(words)[:9]), (7, "something"), (None, ""), (9, "")], key=str)
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("name", ["language_id", "exact_dedup", "jaccard_join", "pii", "packing"])
+def test_stages_take_odd_tables(spark, name):
+    """Nulls in any column, an empty table, repeated rows and ids, clashing names and a long text."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest int, kept string, row int, lengths int, component_id int, part int, rank string"
+    long = " ".join(f"word{i % 977} is here" for i in range(9000))
+    rows = [(1, "The cat sat on the mat with a hat", "en", "s", 5), (1, "The cat sat on the mat with a hat", "en", "s", 5), (None, None, None, None, None), (2, "", "fr", None, 0), (None, "Le chat est sur la table", None, "s", None), (3, long, "en", "s", None)]
+    docs = spark.createDataFrame([(*r, 1, "k", 1, 1, 1, 1, "r") for r in rows], schema)
+    out = stage(spark, docs, "")
+    n = out.count()
+    assert n >= 1 and (name == "packing" or out.columns == docs.columns)
+    if name == "exact_dedup":
+        assert n == 4  # the copy goes, and of the two texts without words one
+    assert stage(spark, docs.limit(0), "").count() == 0
