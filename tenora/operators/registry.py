@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tenora.functions.columns import chosen
 from tenora.functions.slugs import plain_slug
 from tenora.operators import audits, jobs, queries, replay, retrieval
-from tenora.plans.staging import staged
 from tenora.sources.fixtures import CTES, Fixture, as_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,17 +316,23 @@ def members_after_commands(x: Fixture) -> DataFrame:
   UNION ALL SELECT 'owner of tenants', CAST(id AS VARCHAR), 0 FROM tenants WHERE id NOT IN (SELECT tenant_id FROM owners))
 SELECT * FROM u""")
 def audit_constraints(x: Fixture) -> DataFrame:
-    # each table is read by several rules: derive it once
-    tables = {"users": x.users, "tenants": x.tenants, "memberships": x.memberships, "invitations": x.invitations}
-    return audits.audit_constraints({name: staged(df, name) for name, df in tables.items()})
+    return audits.audit_constraints({"users": x.users, "tenants": x.tenants, "memberships": x.memberships, "invitations": x.invitations})
 
 
-@query(""", lines AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'Bearer tok-' || event_id % 1000 || ', again tok-' || event_id % 1000 ELSE props END AS line FROM events)
-SELECT event_id, i.id AS invitation_id FROM lines JOIN invitations i ON line = 'Bearer tok-' || i.id || ', again tok-' || i.id""")
+# tokens of one length, inside longer text: alone, after a prefix, before a suffix, between other token letters
+@query(""", tokens AS (SELECT id, 'T' || lpad(CAST(id AS VARCHAR), 11, '0') || 'k' AS token FROM invitations), lines AS (
+  SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Bearer ' || t || ', again ' || t WHEN 1 THEN 'GET /invite-' || t || '?x=1' WHEN 2 THEN 'tok_' || t WHEN 3 THEN t || '-retry' WHEN 4 THEN 'ab' || left(t, 9) || ' ' || substr(t, 10) ELSE 'x' || t || t || 'T0' END AS line
+  FROM (SELECT event_id, 'T' || lpad(CAST(event_id % 4000 AS VARCHAR), 11, '0') || 'k' AS t FROM events WHERE event_id % 50 < 6) UNION ALL SELECT event_id, props FROM events WHERE event_id % 50 >= 6)
+SELECT DISTINCT event_id, id AS invitation_id FROM (SELECT * FROM lines WHERE contains(line, 'T')) JOIN tokens ON contains(line, token)""")
 def leak_scan(x: Fixture) -> DataFrame:
-    token = F.concat(F.lit("tok-"), F.col("event_id") % 1000)
-    line = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("Bearer "), token, F.lit(", again "), token)).otherwise(F.col("props"))
-    return audits.leak_scan(x.table("events").select("event_id", line.alias("line")), x.invitations)
+    token = lambda n: F.concat(F.lit("T"), F.lpad(n.cast("string"), 11, "0"), F.lit("k"))
+    i, t = F.col("event_id"), token(F.col("event_id") % 4000)
+    forms = [F.concat(F.lit("Bearer "), t, F.lit(", again "), t), F.concat(F.lit("GET /invite-"), t, F.lit("?x=1")), F.concat(F.lit("tok_"), t), F.concat(t, F.lit("-retry")), F.concat(F.lit("ab"), F.substring(t, 1, 9), F.lit(" "), F.substring(t, 10, 9))]
+    line = F.concat(F.lit("x"), t, t, F.lit("T0"))
+    for n, form in enumerate(forms):
+        line = F.when(i % 6 == n, form).otherwise(line)
+    log = x.table("events").select("event_id", F.when(i % 50 < 6, line).otherwise(F.col("props")).alias("line"))
+    return audits.leak_scan(log, x.invitations.select("id", F.unhex(F.sha2(token(F.col("id")), 256)).alias("token_hash")), (13,))
 
 
 _BAD = """, bad AS (SELECT id, CASE WHEN id % 7 = 0 THEN '  ' WHEN id % 11 = 0 THEN repeat('n', 101) ELSE coalesce(display_name, '') END AS name, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 13 = 0 THEN '@x' WHEN id % 17 = 0 THEN repeat('e', 320) || '@x' ELSE email END AS email, CAST(id % 4 * 10 AS INTEGER) AS role FROM users)"""

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -204,14 +205,20 @@ def test_sign_in_stream_and_log(spark, tmp_path):
     assert [r["n_error"] for r in spark.sql("SELECT * FROM rates").collect()] == [1]
 
 
-def test_vector_queries_in_blocks(spark):
+def test_vector_queries_in_tiles(spark):
     from tenora.operators.retrieval import vector_top_k
 
-    rows = [(i, [float((i * 7 + j * j * 3) % 11 - 5) for j in range(4)]) for i in range(60)] + [(60, [0.0] * 4)]
+    rows = [(i, [float((i * 7 + j * j * 3) % 11 - 5) for j in range(4)]) for i in range(60)] + [(60, [0.0] * 4), (61, None), (62, [1.0, None, 0.0, 0.0]), (63, [float("nan")] * 4)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     q = v.withColumnRenamed("vec_id", "query_id")
     whole = sorted(map(tuple, vector_top_k(q, v, 3).collect()))
-    assert len(whole) == 180 and sorted(map(tuple, vector_top_k(q, v, 3, block=25).collect())) == whole
+    want, good = [], {i: np.array(x) for i, x in rows[:60]}
+    for i, x in good.items():
+        near = sorted((-round(float(x @ y / np.sqrt((x @ x) * (y @ y))), 9), j) for j, y in good.items() if j != i)[:3]
+        want += [(i, j, -c, n) for n, (c, j) in enumerate(near, 1)]
+    assert [(r[0], r[1], r[3]) for r in whole] == [(w[0], w[1], w[3]) for w in sorted(want)]
+    assert sorted(map(tuple, vector_top_k(q, v, 3, tile=7).collect())) == whole
+    assert vector_top_k(q, v.limit(0), 3).count() == 0
 
 
 def test_accepted_commands_make_rows(spark):
