@@ -23,6 +23,10 @@ _OWN_KEYS: dict[str, str] = {}
 # The formats looked for.
 EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}"  # 127 labels at most
 PHONE = r"\+\d{1,3} ?\(\d{2,4}\) ?\d{3}[ -]?\d{4}|\+\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\+[1-9]\d{7,14}"
+#: International numbers in groups of any size, national ones with a leading zero, and dotted ones; the first are of 8 to 15 digits.
+GROUPED = r"\+\d{1,3}(?:[ .-]\(?\d{1,5}\)?)?(?:[ .-]\d{2,8}){1,4}"
+NATIONAL = r"\(?0\d{1,4}\)?[ -]\d{3,4}[ -]\d{3,4}|\d{3}\.\d{3}\.\d{4}"
+IPV6 = r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}"
 CARD = r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
@@ -32,9 +36,9 @@ DATE = rf"{ISO_DATE}|{SLASH_DATE}"
 #: Alternatives in order of precedence. No match begins or ends inside a longer run of letters or digits, but a time may follow a
 #: date; a date with slashes does not begin or end at another slash.
 _AFTER = r"(?![\w@-]|\.\d)"
-_REST = rf"(?:{PHONE}|{SSN}|{IPV4}|{CARD}){_AFTER}|{ISO_DATE}(?:(?=[Tt]\d{{2}}:)|{_AFTER})|(?<!/){SLASH_DATE}(?!/){_AFTER}"
+_REST = rf"(?:{PHONE}|{GROUPED}|{NATIONAL}|{SSN}|{IPV4}|{CARD}){_AFTER}|{ISO_DATE}(?:(?=[Tt]\d{{2}}:)|{_AFTER})|(?<!/){SLASH_DATE}(?!/){_AFTER}|(?<!:)(?:{IPV6})(?![\w:]|\.\w)"
 PATTERN = rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL})(?![A-Za-z0-9@-])|(?<![\w.+-])(?:{_REST})"
-KINDS = ("email", "phone", "card", "ssn", "ipv4", "date")
+KINDS = ("email", "phone", "card", "ssn", "ipv4", "ipv6", "date")
 
 FIRST_DAY, DAYS, DAYS_LEFT = "1900-01-01", 73049, 17  # 200 years of days, 17 * 4297
 
@@ -104,7 +108,7 @@ def _card(x: Column, key: str) -> Column:
 def _phone(x: Column, key: str) -> Column:
     """The country code stays, all other digits are permuted."""
     # without a separator, codes 1 and 7 have one digit and of others two are taken
-    code = F.regexp_extract(x, r"^\+(?:\d{1,3}(?=[ (-])|[17]|\d{2})", 0)
+    code = F.regexp_extract(x, r"^\+(?:\d{1,3}(?=[ (.-])|[17]|\d{2})", 0)
     rest = F.substring(x, F.length(code) + 1, F.length(x))
     return F.concat(code, into_format(rest, permuted_digits(_digits(rest), "phone", key)))
 
@@ -126,6 +130,30 @@ def _ipv4(x: Column, key: str) -> Column:
     return F.concat_ws(".", *[p.cast("string") for p in (F.floor(a / 256), a % 256, F.floor(b / 256), b % 256)])
 
 
+def _ipv6(x: Column, key: str) -> Column:
+    """Another address with as many hexadecimal digits in each group; the second half's permutation depends on the first half."""
+    d = F.regexp_replace(F.lower(x), "[^0-9a-f]", "")
+    n = F.length(d)
+    head = F.floor(n / 2).cast("int")
+
+    def moved(part: Column, tweak: Column) -> Column:
+        size = F.length(part)
+        low = F.floor(size / 2).cast("int")
+        number = lambda at, k: F.coalesce(F.conv(F.nullif(F.substring(part, at, k), F.lit("")), 16, 10).cast("long"), F.lit(0))
+        wide = lambda k: F.pow(F.lit(16), k).cast("long")
+        a, b = _feistel(number(F.lit(1), size - low), number(size - low + 1, low), (wide(size - low), wide(low)), tweak, key)
+        text = lambda v, k: F.when(k > 0, F.lpad(F.lower(F.conv(v.cast("string"), 10, 16)), k, "0")).otherwise("")
+        return F.concat(text(a, size - low), text(b, low))
+
+    first, second = F.substring(d, F.lit(1), head), F.substring(d, head + 1, n - head)
+    # halves are moved one after the other, so that a value of one digit has an empty first half
+    out = F.concat(F.when(head > 0, moved(first, F.concat(F.lit("ipv6 first "), n.cast("string")))).otherwise(""), moved(second, F.concat(F.lit("ipv6 second "), n.cast("string"), F.lit(" "), first)))
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    put = lambda s, c: F.when(c == ":", F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))).otherwise(F.struct(F.concat(s["out"], F.substring(out, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at")))
+    text = F.aggregate(F.split(x, ""), start, put, lambda s: s["out"])
+    return F.when(x.rlike("[A-F]"), F.upper(text)).otherwise(text)
+
+
 def _day(x: Column) -> Column:
     """The date, or null if there is no such day in the years that are permuted."""
     iso = F.when(x.contains("/"), F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 1, 2), F.substring(x, 4, 2))).otherwise(x)
@@ -184,7 +212,9 @@ def kind_of(x: Column) -> Column:
     d = _digits(x)
     return (
         F.when(x.contains("@"), "email")
-        .when(x.rlike(rf"^(?:{PHONE})$"), "phone")
+        .when(x.rlike(rf"^(?:{PHONE}|{NATIONAL})$"), "phone")
+        .when(x.startswith("+"), F.when(F.length(d).between(8, 15), "phone"))
+        .when(x.contains(":"), F.when(x.rlike("[0-9]"), "ipv6"))
         .when(x.rlike(rf"^{SSN}$"), F.when(~F.substring(x, 1, 3).isin("000", "666") & ~x.startswith("9") & (F.substring(x, 5, 2) != "00") & (F.substring(x, 8, 4) != "0000"), "ssn"))
         .when(x.rlike(rf"^{IPV4}$"), F.when(octets, "ipv4"))
         .when(x.rlike(rf"^(?:{DATE})$"), F.when(_day(x).isNotNull() | _day_first(x), "date"))
@@ -200,6 +230,7 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
         .when(kind == "card", _card(x, key))
         .when(kind == "ssn", _ssn(x, key))
         .when(kind == "ipv4", _ipv4(x, key))
+        .when(kind == "ipv6", _ipv6(x, key))
         .when(kind == "date", _date(x, key))
         .otherwise(x)
     )

@@ -144,9 +144,17 @@ class TokenFileReader:
             at += len(raw)
 
 
+#: Schemes of folders that pyarrow can open, by Spark's names.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    """The pyarrow file system of a Spark path, and the path in it."""
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+    """The pyarrow file system of a Spark path, and the path in it; Spark's names for S3 are those of pyarrow's."""
+    scheme, rest = uri.split("://", 1) if "://" in uri else ("file", uri.removeprefix("file:"))
+    scheme = SCHEMES.get(scheme.lower())
+    if scheme is None:
+        raise ValueError(f"token files can be written to {', '.join(sorted(SCHEMES))}, not to {uri.split('://')[0]}")
+    return fs.FileSystem.from_uri(f"{scheme}://{rest}")
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = END_ID, chars_per_file: int = 1 << 26) -> DataFrame:

@@ -61,7 +61,7 @@ def test_pseudonyms(spark):
     cards = re.findall(r"\d[\d ]{14,}\d", text[1])
     plain = [re.sub(r"\D", "", c) for c in cards]
     assert plain[0] == plain[1] != "4539578763621486" and luhn(plain[0]) and cards[1][4] == " "
-    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4}, or \+44 20 7946 0958", text[3])
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4}, or \+44 \d\d \d{4} \d{4}", text[3]) and "+44 20 7946 0958" not in text[3]
     assert text[3].split(",")[0].removeprefix("call ") in text[11] and luhn(re.match(r"\d{16}", text[11])[0]) == luhn("4397110767823743")
     assert re.fullmatch(r"from (\d{1,3}\.){3}\d{1,3} ok", text[4]) and text[4] != PII[4]
     a, b = re.fullmatch(r"born (\d{4}-\d\d-\d\d) and (\d\d/\d\d/\d{4})", text[6]).groups()
@@ -498,3 +498,41 @@ def test_aliases_of_random_graphs(spark):
     out = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), redirects=spark.createDataFrame(rest, "src string, dst string")).collect()
     want = {i: verdict(u) for i, u in enumerate(urls)}
     assert {r["page_id"]: r["verdict"] for r in out} == want and len({v for i, v in want.items() if own(urls[i]) is None}) == 2
+
+
+def test_more_numbers_and_addresses(spark):
+    from tenora.llm.pii import pseudonymise
+
+    values = {
+        "phone": ["+44 20 7946 0958", "020 7946 0958", "+49 30 901820", "555.123.4567", "+33 1 23 45 67 89", "+49.30.901820"],
+        "ipv6": ["2001:db8:0:0:0:0:2:1", "2001:db8::1", "::1", "fe80::1ff:fe23:4567:890a", "2001:DB8::A1"],
+    }
+    plain = ["at 10:20:30 sharp", "std::vector", "abc::def", "version 1.2.3.4567", "+1 2", "a 3 - 2", "see 12:30"]
+    rows = [(kind, v, form.format(v)) for kind, of in values.items() for v in of for form in ("{}", "({})", "is {}, yes", "see {}.")]
+    df = spark.createDataFrame([*rows, *[("", "", p) for p in plain]], "kind string, value string, text string").coalesce(1)
+    got = pseudonymise(df, key="k", found_col="found").collect()
+    seen = {}
+    for kind, value, text, found in got[: len(rows)]:
+        assert found == [kind] and value not in text, (value, text)
+        shape = re.sub(r"[0-9a-fA-F]" if kind == "ipv6" else r"[0-9]", "x", value)
+        inside = re.sub(r"^\(|^is |^see |[).]$|, yes$", "", text)
+        assert re.sub(r"[0-9a-fA-F]" if kind == "ipv6" else r"[0-9]", "x", inside) == shape
+        assert seen.setdefault(value, inside) == inside
+    assert len(set(seen.values())) == len(seen)
+    assert [r["text"] for r in got[len(rows) :]] == plain and not any(r["found"] for r in got[len(rows) :])
+
+
+def test_addresses_are_permuted(spark):
+    from tenora.llm.pii import _ipv6
+
+    df = spark.range(4096).select(F.concat(F.lit("a::"), F.lower(F.hex("id"))).alias("x")).select("x", _ipv6(F.col("x"), "k").alias("y"))
+    rows = df.collect()
+    assert len({r["y"] for r in rows}) == len(rows) and all(len(r["x"]) == len(r["y"]) for r in rows)
+
+
+def test_folders_of_token_files():
+    from tenora.llm.token_files import SCHEMES, file_system
+
+    with pytest.raises(ValueError, match="abfss.*s3a"):
+        file_system("dbfs:///x")
+    assert file_system("/tmp/x")[1] == file_system("file:///tmp/x")[1] == "/tmp/x" and SCHEMES["s3a"] == "s3"
