@@ -10,7 +10,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -21,7 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
@@ -39,11 +39,12 @@ def _folder(spark: SparkSession) -> str:
 
 
 def clean(spark: SparkSession) -> None:
-    """Remove all staged tables of this application. Call it when every result has been written: results read them."""
-    uri = _folder(spark)
-    system, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
-    if system.get_file_info(path).type != fs.FileType.NotFound:
-        system.delete_dir(path)
+    """Remove all staged tables of this application. Call it when every result has been written: results read them.
+
+    The folder is deleted through the session's own file systems, so it may be wherever Spark can write.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
