@@ -26,7 +26,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,45 +147,50 @@ def _heads(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).where("n > 1").select("head")
 
 
+def _mark(x1: np.ndarray, row: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A number for a stretch at its place, which says where one of several equal stretches stands."""
+    mixed = (x1.view(np.uint64) ^ (row.astype(np.uint64) * np.uint64(_R1)) ^ (lo.astype(np.uint64) * np.uint64(_R2))) * _MIX
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+
+
 def _repeated(docs: DataFrame, heads: DataFrame, length: int) -> DataFrame:
-    """Stretches whose head occurs twice, and some others: head, x1, x2, row, lo, more (windows after the first).
+    """Stretches whose head occurs twice, and some others: head, x1, x2, mark, row, place (first window and number of more ones, packed).
 
     What a bitmap lets pass by chance has no equal, and needn't be joined away: it makes a kind of its own, of which there is one.
     """
     bits = docs.sparkSession.sparkContext.broadcast(bits_of(heads, F.col("head")))
-    names = ["head", "x1", "x2", "row", "lo"]
+    names = ["head", "x1", "x2", "mark", "row", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _stretches(batches, length):
             at = np.flatnonzero(has_bit(bits.value, s["head"]))
             if len(at):
-                yield pa.RecordBatch.from_arrays([*[pa.array(s[c][at]) for c in names], pa.array((s["hi"] - s["lo"])[at].astype(np.int16))], [*names, "more"])
-
-    return docs.select("row", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", more short")
-
+                one = {c: s[c][at] for c in ("head", "x1", "x2", "row", "lo", "hi")}
+                one |= {"mark": _mark(one["x1"], one["row"], one["lo"]), "place": one["lo"] << 16 | (one["hi"] - one["lo"])}
+                yield pa.RecordBatch.from_arrays([pa.array(one[c]) for c in names], names)
 
-def _mark(x1: Column, row: Column, lo: Column) -> Column:
-    return x1.bitwiseXOR(row).bitwiseXOR(F.shiftleft(lo, 20)).bitwiseXOR(lo)
+    return docs.select("row", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _suffixes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The wanted stretches (x1, x2, row, lo) with their sort keys: x1, x2, row, lo, near, far (distances of windows and anchor), key."""
-    bits = docs.sparkSession.sparkContext.broadcast(bits_of(wanted, _mark(F.col("x1"), F.col("row"), F.col("lo"))))
-    names = ["x1", "x2", "row", "lo", "near", "far"]
+    """The wanted stretches (mark) with their sort keys: row, lo, near, far (distances of windows and anchor), key.
+
+    A bitmap chooses them; others that it lets pass are stretches of the texts too, so they may be sorted with the rest.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bits_of(wanted, F.col("mark")))
+    names = ["row", "lo", "near", "far"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _stretches(batches, length):
-            at = np.flatnonzero(has_bit(bits.value, s["x1"] ^ s["row"] ^ (s["lo"] << 20) ^ s["lo"]))
+            at = np.flatnonzero(has_bit(bits.value, _mark(s["x1"], s["row"], s["lo"])))
             data = s["data"].tobytes() if len(at) else b""
             for begin in range(0, len(at), 1 << 13):
                 i = at[begin : begin + (1 << 13)]
                 anchor, near, far, shift = s["anchor"][i], s["anchor"][i] - s["hi"][i], s["anchor"][i] - s["lo"][i], s["shift"][i]
                 keys = [data[a : h + length] + data[f:a][::-1] for a, h, f in zip((anchor - shift).tolist(), (s["hi"][i] - shift).tolist(), (s["lo"][i] - shift).tolist(), strict=True)]
-                columns = [s["x1"][i], s["x2"][i], s["row"][i], s["lo"][i], near, far]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.array(keys, pa.binary())], [*names, "key"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in (s["row"][i], s["lo"][i], near, far)], pa.array(keys, pa.binary())], [*names, "key"])
 
-    found = docs.select("row", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", key binary")
-    return found.join(wanted.select("x1", "x2", "row", "lo"), ["x1", "x2", "row", "lo"], "left_semi")
+    return docs.select("row", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", key binary")
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -406,11 +411,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be between {3 * SPAN} and {1 << 14}")
     heads = staged(_heads(texts, length), "heads")
     found = staged(_repeated(texts, heads, length), "repeated", "zstd")
-    kinds = staged(found.groupBy("head", "x1", "x2").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo")).alias("one")), "kinds", "zstd")
-    whole = found.select("x1", "x2", "row", "lo", "more").join(kinds.where("n > 1").select("x1", "x2"), ["x1", "x2"], "left_semi")
-    whole = whole.select("row", F.col("lo").alias("begin"), (F.col("lo") + F.col("more") + length).alias("end"))
+    kinds = staged(found.groupBy("head", "x1", "x2").agg(F.count("*").alias("n"), F.min("mark").alias("mark")), "kinds", "zstd")
+    whole = found.select("x1", "x2", "row", "place").join(kinds.where("n > 1").select("x1", "x2"), ["x1", "x2"], "left_semi")
+    lo = F.shiftright("place", 16)
+    whole = whole.select("row", lo.alias("begin"), (lo + F.col("place").bitwiseAND(F.lit(65535)) + length).alias("end"))
     several = kinds.groupBy("head").agg(F.count("*").alias("m")).where("m > 1").select("head")
-    wanted = staged(kinds.join(several, "head", "left_semi").select("x1", "x2", "one.row", "one.lo", "n"), "wanted")
+    wanted = staged(kinds.join(several, "head", "left_semi").select("mark"), "wanted")
     if wanted.isEmpty():
         return whole
     suffixes = staged(_suffixes(texts, wanted, length).withColumn("id", F.monotonically_increasing_id()), "suffixes", "zstd")
@@ -447,22 +453,30 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -
     row, cut, spans = fresh(docs, "row"), fresh(docs, "cut"), fresh(docs, "spans")
     stored = staged(docs.withColumn(row, F.monotonically_increasing_id()), "texts", "zstd")
     found = repeated_spans(stored.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text")).where(F.octet_length("text") >= length), length)
-    per = staged(_merged_spans(found).select(F.col("row").alias(row), F.col("spans").alias(spans)), "spans")
+    size = F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long")
+    whole = (F.size("spans") == 1) & (F.col("spans")[0]["begin"] == 0) & (F.col("spans")[0]["end"] == F.col("size"))
+    per = _merged_spans(found).join(stored.select(F.col(row).alias("row"), size.alias("size")), "row")
+    per = staged(per.select(F.col("row").alias(row), F.col("spans").alias(spans), whole.alias("whole")), "spans")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     runs = F.col(spans)
     # what lies before each run and after the last one, put together as hexadecimal text, as only text can be joined
     gaps = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), runs["end"]), F.concat(runs["begin"], F.array(F.octet_length(data).cast("long"))), lambda b, e: F.hex(F.substring(data, (b + 1).cast("int"), (e - b).cast("int"))))
     removed = F.aggregate(runs, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
-    # texts and spans always meet by a merge, so that small and large tables take one way
-    hit = roughly(stored, per, row).join(per.hint("merge"), row).select(*columns, F.struct(F.unhex(F.array_join(gaps, "")).alias("kept"), removed.alias("n_removed"), runs.cast(_SPANS).alias("spans")).alias(cut))
+    # texts and spans always meet by a merge, so that small and large tables take one way; of those that go as a whole no text is needed
+    kept = F.unhex(F.array_join(gaps, ""))
+    hit = None
+    for gone in (True, False):
+        of = per.where("whole" if gone else "NOT whole").select(row, spans)
+        part = roughly(stored, of, row).join(of.hint("merge"), row).select(*columns, F.struct((F.lit(b"") if gone else kept).alias("kept"), removed.alias("n_removed"), runs.cast(_SPANS).alias("spans")).alias(cut))
+        hit = part if hit is None else hit.unionByName(part)
     none = F.struct(data.alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(_SPANS).alias("spans"))
     return without(stored, per, row).select(*columns, none.alias(cut)).unionByName(hit)
 
 
 def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document after strings of 400 bytes that occur twice have gone."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = without_repeats(docs)
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    return out.select("doc_id", n_bytes.alias("n_bytes"), F.col("cut.n_removed").alias("n_removed"), F.size("cut.spans").cast("long").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", n_bytes.alias("n_bytes"))
+    out = without_repeats(docs)
+    return out.select("doc_id", "n_bytes", F.col("cut.n_removed").alias("n_removed"), F.size("cut.spans").cast("long").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256"))
