@@ -7,6 +7,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenora.sources.schemas import EVENTS, REQUEST_LOG, TABLES
 
@@ -48,10 +49,33 @@ def read_snapshot(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return read_tables(spark, f"{folder}/{name}")
 
 
-def read_request_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """JSON lines of the request log, as a batch or a stream."""
-    reader = spark.readStream if streaming else spark.read
-    return reader.schema(REQUEST_LOG).json(path)
+DAMAGED = "damaged_line"
+
+
+def _log_lines(spark: SparkSession, path: str, streaming: bool, first_day: str | None, last_day: str | None) -> DataFrame:
+    """Parsed lines (record) with their file; blank ones don't count."""
+    rows = (spark.readStream if streaming else spark.read).text(path)
+    # the log rolls daily and files carry their day as yyyyMMdd, so others are dropped before they are opened
+    day = F.regexp_extract("_metadata.file_name", r"(\d{8})", 1)
+    for bound, inside in ((first_day, lambda d: day >= d), (last_day, lambda d: day <= d)):
+        if bound is not None:
+            rows = rows.where(inside(bound.replace("-", "")))
+    kind = T.StructType([*REQUEST_LOG.fields, T.StructField(DAMAGED, T.StringType())])
+    record = F.from_json("value", kind, {"columnNameOfCorruptRecord": DAMAGED})
+    return rows.where(F.trim("value") != "").select(record.alias("record"), F.col("_metadata.file_name").alias("file_name"))
+
+
+def read_request_log(spark: SparkSession, path: str, streaming: bool = False, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+    """JSON lines of the request log, as a batch or a stream; ``first_day`` and ``last_day`` (yyyy-mm-dd) leave files of other days unread.
+
+    Damaged lines are left out here; :func:`damaged_lines` has them.
+    """
+    return _log_lines(spark, path, streaming, first_day, last_day).where(F.col(f"record.{DAMAGED}").isNull()).select("record.*").drop(DAMAGED)
+
+
+def damaged_lines(spark: SparkSession, path: str, streaming: bool = False, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+    """Lines of the request log that are no such record, with their file: file_name, damaged_line. To be kept beside the log and counted."""
+    return _log_lines(spark, path, streaming, first_day, last_day).select("file_name", f"record.{DAMAGED}").where(F.col(DAMAGED).isNotNull())
 
 
 def request_stream(spark: SparkSession, path: str) -> DataFrame:

@@ -52,3 +52,21 @@ def test_clustered_vectors_are_compared_in_part(spark):
     second = compared(retrieval._visits(q.select("id", "unit").join(worst, "id"), pivots, shape, dict.fromkeys(shape, 1), 10, 1, "worst")) or 0
     assert first + second < 0.25 * 40 * 2000  # of 40 queries against 2000 vectors
     assert got.count() == 400
+
+
+def test_rolled_log(spark, tmp_path):
+    from tenora.sources.tables import damaged_lines, read_request_log
+
+    for day in ("20240101", "20240102", "20240103"):
+        line = f'{{"event_id": {day}, "ts": "2024-01-01T00:00:01Z", "status": 200, "path": "/api"}}\n'
+        (tmp_path / f"requests-{day}.json").write_text(line * 2 + ("{broken\n" if day == "20240102" else ""))
+    one = read_request_log(spark, str(tmp_path), first_day="2024-01-02", last_day="2024-01-02")
+    assert [r["event_id"] for r in one.collect()] == [20240102] * 2
+    assert read_request_log(spark, str(tmp_path)).count() == 6
+    lost = damaged_lines(spark, str(tmp_path)).collect()
+    assert [(r["file_name"], r["damaged_line"]) for r in lost] == [("requests-20240102.json", "{broken")]
+    assert damaged_lines(spark, str(tmp_path), first_day="2024-01-03").count() == 0
+    # files of other days are not read at all
+    scan = one._jdf.queryExecution().executedPlan().collectLeaves().head()
+    scan.execute().count()
+    assert scan.metrics().apply("numFiles").value() == 1
