@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tenora.functions.columns import chosen
 from tenora.functions.slugs import plain_slug
-from tenora.operators import audits, jobs, queries, replay, retrieval
+from tenora.operators import audits, jobs, postings, queries, replay, retrieval
+from tenora.plans.staging import new_path
 from tenora.sources.fixtures import CTES, Fixture, as_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,6 +428,15 @@ def text_top_k(x: Fixture) -> DataFrame:
     return _found(x, 10).withColumn("score", F.round("score", 4))
 
 
+@query(_BM25.replace("item_id % 50 = 0", "item_id % 50 < 2") + " SELECT query_id, doc_id, round(score, 4) AS score, rank FROM found WHERE rank <= CASE WHEN query_id % 50 = 0 THEN 10 ELSE 20 END")
+def indexed_text_top_k(x: Fixture) -> DataFrame:
+    """One index over all documents, asked by two sets of queries: the 10 best for the first, the 20 best for the second."""
+    index = postings.write_index(x.table("documents"), new_path(x.spark, "index"))
+    b = x.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = [postings.indexed_top_k(b.where(F.col("query_id") % 50 == n), index, k) for n, k in ((0, 10), (1, 20))]
+    return jobs.union_all(found).withColumn("score", F.round("score", 4))
+
+
 _FUSED = _COS + _BM25 + """, fused AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (
   SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.vec_id, b.doc_id) AS item_id, round(coalesce(1::DOUBLE / (60 + a.rank), 0) + coalesce(1::DOUBLE / (60 + b.rank), 0), 9) AS score
   FROM (SELECT * FROM near WHERE rank <= 20) a FULL JOIN (SELECT * FROM found WHERE rank <= 20) b ON a.query_id = b.query_id AND a.vec_id = b.doc_id))"""
@@ -441,10 +451,13 @@ def rrf_fuse(x: Fixture) -> DataFrame:
     return _fused(x).withColumn("score", F.round("score", 6))
 
 
-@query(_FUSED + _CHUNKS + " SELECT f.query_id, d.doc_id, f.rank, d.source, c.first_word, c.n_words FROM fused f JOIN chunks c ON c.doc_id = f.item_id AND ordinal = 0 JOIN documents d ON d.doc_id = c.doc_id WHERE f.rank <= 5")
+@query(_FUSED + _CHUNKS + """, asked AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS t FROM benchmark),
+best AS (SELECT f.query_id, f.rank, c.*, row_number() OVER (PARTITION BY f.query_id, c.doc_id ORDER BY len(list_intersect(list_distinct(regexp_split_to_array(lower(chunk), '[^a-z0-9]+')), coalesce(a.t, []))) DESC, ordinal) AS n
+  FROM fused f JOIN chunks c ON c.doc_id = f.item_id LEFT JOIN asked a ON a.query_id = f.query_id WHERE f.rank <= 5)
+SELECT b.query_id, b.doc_id, b.rank, d.source, b.ordinal, b.first_word, b.n_words FROM best b JOIN documents d ON d.doc_id = b.doc_id WHERE n = 1""")
 def cite(x: Fixture) -> DataFrame:
-    docs = x.table("documents")
-    return retrieval.cite(_fused(x).where("rank <= 5").withColumnRenamed("item_id", "doc_id"), retrieval.chunk_documents(docs), docs)
+    docs, asked = x.table("documents"), x.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.cite(_fused(x).where("rank <= 5").withColumnRenamed("item_id", "doc_id"), asked, retrieval.chunk_documents(docs), docs)
 
 
 @query("""SELECT user_id % 10 AS tenant_id, date_trunc('day', ts) AS window_start, count(*) AS n, CAST(user_id % 10 * 3 AS BIGINT) AS quota, count(*) > user_id % 10 * 3 AS exceeded FROM events GROUP BY user_id % 10, date_trunc('day', ts)""")
