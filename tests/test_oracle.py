@@ -48,3 +48,13 @@ def test_entry_point(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert os.path.exists(__spark_entry__.__file__)
+
+
+def test_owners_are_found_without_members(spark, sf_dir):
+    from tenora.sources.fixtures import Fixture
+
+    x = Fixture(spark, sf_dir)
+    plan = x.owners._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.count("Join ") == 1, plan
+    made = x.memberships.where("role = 30").selectExpr("tenant_id", "user_id", "created_at")
+    assert sorted(map(tuple, x.owners.collect())) == sorted(map(tuple, made.collect()))
