@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenora.plans.bitmap import may_match
+from tenora.plans.staging import staged
 from tenora.sources.schemas import OWNER
 
 TOKEN_LENGTH = 43  # 32 random bytes as base64 for urls
+ROWS = 1 << 19  # rows whose facts one task counts before the shuffle: most are distinct, so its memory goes with them
 
 # What must be unique, present, of bounded length, and refer to what.
 UNIQUE = {"users": [["id"], ["firebase_uid"]], "tenants": [["id"], ["slug"]], "memberships": [["id"], ["tenant_id", "user_id"]], "invitations": [["id"], ["token_hash"]]}
@@ -46,14 +48,23 @@ def _facts(name: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array_compact(F.array(*facts))).alias("x")).select("x.*")
 
 
+def _in_small_tasks(name: str, rows: DataFrame) -> DataFrame:
+    """The columns that rules look at, staged, and dealt to tasks of some ``ROWS`` rows whatever their number."""
+    used = {c for key in UNIQUE[name] for c in key} | {*REQUIRED[name], *LENGTHS.get(name, {})} | {c for child, c, _ in REFERENCES if child == name}
+    used |= {"accepted_at", "revoked_at"} if name == "invitations" else set()
+    rows = staged(rows.select(*[c for c in rows.columns if c in used]), name)
+    n = rows.count()
+    return rows.repartition(-(-n // ROWS), *rows.columns) if n > ROWS else rows
+
+
 def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     """Every violation: rule, key, n_rows. Nulls are no duplicates.
 
     Each table is read once: its rows are expanded to facts, and one aggregate over those of all tables has the counts of every unique key, of
     every missing or overlong value, and, for each parent, whether it exists, who refers to it and whether it has an owner. Counts are taken
-    before the shuffle, so a key with very many rows costs no more than others.
+    before the shuffle, so a key with very many rows costs no more than others, and in tasks of so many rows, so their memory does not grow.
     """
-    facts = reduce(DataFrame.unionByName, [_facts(name, tables[name]) for name in UNIQUE])
+    facts = reduce(DataFrame.unionByName, [_facts(name, _in_small_tasks(name, tables[name])) for name in UNIQUE])
     refers = {f"reference {child}.{c}": parent for child, c, parent in REFERENCES}
     counts = {"parent": F.count_if(F.col("tag") == "parent"), "owner": F.count_if(F.col("tag") == "owner")} | {tag: F.count_if(F.col("tag") == tag) for tag in refers}
     groups = facts.groupBy("space", "key").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in counts.items()])

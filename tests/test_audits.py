@@ -70,3 +70,13 @@ def test_rolled_log(spark, tmp_path):
     scan = one._jdf.queryExecution().executedPlan().collectLeaves().head()
     scan.execute().count()
     assert scan.metrics().apply("numFiles").value() == 1
+
+
+def test_facts_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(audits, "ROWS", 100, raising=False)
+    rows = spark.range(0, 1000, 1, 1).select(F.col("id"), F.lit(1).cast("long").alias("tenant_id"), F.col("id").alias("user_id"), F.lit(30).alias("role"))
+    tables = {name: spark.createDataFrame([], kind) for name, kind in TABLES.items()} | {"memberships": rows}
+    parts = audits._in_small_tasks("memberships", rows)
+    assert parts.rdd.getNumPartitions() == 10 and max(parts.rdd.glom().map(len).collect()) < 200
+    found = {(r["rule"], r["key"]): r["n_rows"] for r in audits.audit_constraints(tables).collect()}
+    assert found["reference memberships.tenant_id", "1"] == 1000 and len(found) == 1001
