@@ -176,10 +176,13 @@ def replay_membership_commands(memberships: DataFrame, commands: DataFrame, part
     state = memberships.groupBy("tenant_id", "user_id").agg(F.max(F.col("role").cast("int")).alias("role"))
     state = staged(state, "members")
     owners = state.where(F.col("role") == OWNER).groupBy("tenant_id").agg(F.count("*").alias("owners"))
+    # rounds read those members only whom commands name
+    named = asked.select("tenant_id", F.explode(F.array("actor_id", "target_id")).alias("user_id")).distinct()
+    members = known = staged(state.join(named, ["tenant_id", "user_id"], "left_semi"), "named")
     writes = _writes(asked.withColumns({"code": F.lit("ok"), "changes": F.lit(False)}))
     settled, last = [], None
     while True:
-        now = staged(_judged(asked, writes, state, owners), "verdicts")
+        now = staged(_judged(asked, writes, known, owners), "verdicts")
         if last is None:
             moving = now.where("changes").select("tenant_id").distinct()
         else:
@@ -190,7 +193,7 @@ def replay_membership_commands(memberships: DataFrame, commands: DataFrame, part
         if moving.isEmpty():
             break
         last = now.join(moving, "tenant_id", "left_semi")
-        asked, writes = last.drop("code", "changes"), _writes(last)
+        asked, writes, known = last.drop("code", "changes"), _writes(last), members.join(moving, "tenant_id", "left_semi")
     verdicts = reduce(DataFrame.unionByName, settled)
     final = _writes(verdicts).groupBy("tenant_id", "user_id").agg(F.max_by("written", F.struct("part", "nth")).alias("written"))
     after = state.join(final, ["tenant_id", "user_id"], "left").select("tenant_id", "user_id", F.when(F.col("written").isNull(), F.col("role")).otherwise(F.col("written.role")).alias("role"))

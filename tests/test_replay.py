@@ -101,3 +101,13 @@ def test_replay_of_nothing(spark):
     assert outcomes.count() == 0 and after.count() == 1
     lone = spark.createDataFrame([(2, 1, 1, 1, NOW, "leave", None)], COMMANDS)
     assert [r["outcome"] for r in replay.replay_membership_commands(members, lone)[0].collect()] == ["resource.not_found"]
+
+
+def test_rounds_read_named_members_only(spark, monkeypatch):
+    read, judged = [], replay._judged
+    monkeypatch.setattr(replay, "_judged", lambda asked, writes, state, owners: read.append(state.count()) or judged(asked, writes, state, owners))
+    members = spark.createDataFrame([(t, u, 30 if u == 0 else 10) for t in (1, 2) for u in range(100)], "tenant_id long, user_id long, role int")
+    log = spark.createDataFrame([(1, 1, 0, 5, dt.datetime(2026, 1, 1), "remove", None)], COMMANDS)
+    outcomes, after = replay.replay_membership_commands(members, log)
+    assert [r["outcome"] for r in outcomes.collect()] == ["ok"] and after.count() == 199
+    assert max(read) == 2, read
