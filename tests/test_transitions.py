@@ -268,3 +268,13 @@ def test_streamed_invitations(spark, tmp_path, rocks):
         stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{tmp_path}/k").option("path", f"{tmp_path}/o").trigger(availableNow=True).start().awaitTermination()
     got = {r["command_id"]: r["outcome"] for r in spark.read.parquet(f"{tmp_path}/o").collect()}
     assert got == {1: "ok", 2: "ok", 3: "invitation.expired", 4: "access.forbidden"}
+
+
+def test_attempts_carry_no_hashes(spark, sf_dir, monkeypatch):
+    from tenora.operators import registry
+
+    kept, stage = [], jobs.staged
+    monkeypatch.setattr(jobs, "staged", lambda df, tag: kept.append((tag, df.dtypes)) or stage(df, tag))
+    assert registry.registered()["accept_contested_invitations"](spark, sf_dir).count() > 0
+    assert {tag for tag, _ in kept} == {"attempts", "rivals", "winners"}
+    assert not [x for _, types in kept for x in types if x[1] == "binary"], kept
