@@ -278,3 +278,11 @@ def test_attempts_carry_no_hashes(spark, sf_dir, monkeypatch):
     assert registry.registered()["accept_contested_invitations"](spark, sf_dir).count() > 0
     assert {tag for tag, _ in kept} == {"attempts", "rivals", "winners"}
     assert not [x for _, types in kept for x in types if x[1] == "binary"], kept
+
+
+def test_addresses_are_looked_up_and_not_made_distinct(spark, sf_dir):
+    from tenora.operators import registry
+
+    plan = registry.registered()["issue_invitations"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ExistenceJoin") == 2
+    assert not [line for line in plan.splitlines() if "Aggregate [tenant_id" in line and "email" in line]
