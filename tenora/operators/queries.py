@@ -43,10 +43,10 @@ def member_directory(memberships: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def tenant_summary(memberships: DataFrame, tenants: DataFrame) -> DataFrame:
-    """Every membership's tenant, with the member's role and the number of members."""
+    """Every membership's tenant, with the member's role and the number of members. Tenants and counts, one row each, are hashed: members need not be sorted."""
     t = tenants.select(F.col("id").alias("tenant_id"), "name", "slug")
     rows = memberships.select("tenant_id", "user_id", role_name(F.col("role")).alias("role"), "created_at", F.col("id").alias("membership_id"))
-    return rows.join(t, "tenant_id").join(member_counts(memberships), "tenant_id")
+    return rows.join(t.hint("shuffle_hash"), "tenant_id").join(member_counts(memberships).hint("shuffle_hash"), "tenant_id")
 
 
 def user_organizations(memberships: DataFrame, tenants: DataFrame) -> DataFrame:

@@ -58,3 +58,16 @@ def test_owners_are_found_without_members(spark, sf_dir):
     assert plan.count("Aggregate [") == 1 and plan.count("Join ") == 1, plan
     made = x.memberships.where("role = 30").selectExpr("tenant_id", "user_id", "created_at")
     assert sorted(map(tuple, x.owners.collect())) == sorted(map(tuple, made.collect()))
+
+
+def test_many_members_are_not_sorted(spark, sf_dir, monkeypatch):
+    from tenora.operators import queries
+    from tenora.sources import fixtures
+
+    few = fixtures.Fixture(spark, sf_dir)
+    monkeypatch.setattr(fixtures, "LINES", 0, raising=False)
+    x = fixtures.Fixture(spark, sf_dir)
+    plan = queries.tenant_summary(x.memberships, x.tenants)._jdf.queryExecution().sparkPlan().toString()
+    members = plan[: plan.index("SortAggregate")]
+    assert "ShuffledHashJoin" in members and "SortMergeJoin" not in members, plan
+    assert sorted(map(tuple, x.memberships.collect())) == sorted(map(tuple, few.memberships.collect()))
