@@ -52,7 +52,7 @@ def _slices(text: str) -> Iterator[bytes]:
     data = text.encode().translate(_TABLE)
     at = 0
     while len(data) - at > SLICE:
-        end = data.rfind(b"\n", at, at + SLICE)
+        end = data.rfind(b"\n", at + 1, at + SLICE)  # a slice begins with the end of a piece, which is not its own end
         end = data.find(b"\n", at + SLICE) if end < 0 else end
         if end < 0:
             break

@@ -6,6 +6,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -77,6 +78,13 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
     assert all(p.startswith(b"\n") for p in parts[1:])
 
 
+@pytest.mark.parametrize("text", [".", ".a" * 3, "a. " + "b" * 60, "." + "a" * 60 + "." + "b" * 60 + ".", "." * 130, "a" * 60])
+def test_slices_end_whatever_stands_behind_the_last_end_of_a_piece(monkeypatch, text):
+    monkeypatch.setattr("tenora.llm.collocations.SLICE", 50)
+    parts = list(islice(_slices(text), 1000))
+    assert b"".join(parts).replace(b"\n", b".") == text.encode() and all(parts)
+
+
 def cut_plainly(texts, size):
     data = [(t or "").encode() for t in texts]
     seen = Counter(hashlib.md5(b[i : i + size]).digest() for b in data for i in range(len(b) - size + 1))
