@@ -12,9 +12,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tenora.llm import sieve
 from tenora.llm import suffix_sort as ss
 from tenora.llm.collocations import _slices, collocations
 from tenora.llm.prefix_trie import fattest, prefix_trie
+from tenora.plans.staging import staged
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -85,6 +87,16 @@ def test_slices_end_whatever_stands_behind_the_last_end_of_a_piece(monkeypatch,
     assert b"".join(parts).replace(b"\n", b".") == text.encode() and all(parts)
 
 
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 15])
+def test_rows_that_occur_among_the_keys_are_not_shuffled_whole(spark, monkeypatch, bits):
+    monkeypatch.setattr(sieve, "BITS", bits)  # few bits: many rows are held back by chance
+    rows = spark.createDataFrame([(i if i else None, f"text {i}") for i in range(20000)], "row long, text string")
+    keys = staged(spark.range(1, 20000, 2).withColumnRenamed("id", "row"), "keys")
+    out = sieve.without_wide(rows, keys, "row")
+    assert sorted(r["text"] for r in out.collect()) == sorted(f"text {i}" for i in range(0, 20000, 2)) and out.columns == rows.columns
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def cut_plainly(texts, size):
     data = [(t or "").encode() for t in texts]
     seen = Counter(hashlib.md5(b[i : i + size]).digest() for b in data for i in range(len(b) - size + 1))
