@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenora.plans.session import small_batches
+
 UNKNOWN = "und"
 DIMENSIONS = 4096
 SAMPLE = 6000  # labelled documents that the classifiers are fitted on, at most
@@ -111,6 +113,7 @@ def learn(docs: DataFrame) -> Model | None:
 
     Counts of labels cover all documents; the sample's features, 8 KB each, come to the driver. None if there is no label.
     """
+    small_batches(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:

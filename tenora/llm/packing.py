@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenora.llm.words import sliced, word_encoder
+from tenora.plans.session import small_batches
 from tenora.plans.staging import fresh, staged
 
 CAPACITY = 2048
@@ -158,6 +159,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     Null and empty texts give one piece, ``end_id`` alone; null ids and repeated rows give pieces like any other; a long text is
     encoded in parts. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

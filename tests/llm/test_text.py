@@ -382,6 +382,34 @@ def test_aliases(spark):
     assert out[2] == out[5] == "block"
 
 
+@pytest.mark.parametrize("step", ["language", "near_copies", "packing"])
+def test_stages_bound_batches(spark, step):
+    """Spark's own bounds, 10,000 rows and 64 MB, made one batch of all these texts."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = "the quick brown fox jumps over a lazy dog and runs away " * 2000
+    docs = spark.createDataFrame([(i, f"{i} {text}", "en", "s", 1) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars int").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    measure = lambda: [r["bytes"] for r in docs.select("text").mapInArrow(sizes, "bytes long").collect()]
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        assert max(measure()) > 60 * len(text) - 1
+        getattr(corpus_pipeline, step)(spark, docs, "")
+        assert max(measure()) < (1 << 21) + 2 * len(text)
+        spark.conf.set(key, str(4 << 20))  # what the session names stays
+        getattr(corpus_pipeline, step)(spark, docs, "")
+        assert spark.conf.get(key) == str(4 << 20)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_pipeline_stages(spark, sf_dir, library):
     import corpus_pipeline as c
     from test_copies import jaccard_brute
