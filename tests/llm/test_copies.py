@@ -187,6 +187,36 @@ def test_jaccard_odd_rows(spark):
     assert {(r["doc_id"], r["component_id"]) for r in alone} == {(1, 1), (2, 2)}
 
 
+def test_shingles_of_one_class_are_not_shuffled(spark, monkeypatch):
+    """Of texts that share nothing, and of word-for-word copies, next to nothing is shown to others; of two near ones, what they share."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 200, 10**6)) for i in range(300)]
+    rows += [(300 + i, rows[i][1]) for i in range(60)]
+    near = rows[7][1].split()
+    near[100] = "changed"
+    rows.append((400, " ".join(near)))
+    n, root = jaccard_brute(rows)
+    told, true = [], jaccard_join.shown
+
+    def counted(*a):
+        told.append(true(*a).cache())
+        return told[0]
+
+    monkeypatch.setattr(jaccard_join, "shown", counted)
+    out = jaccard_join.jaccard_components(documents(spark, rows)).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out} == {(i, n[i], root[i]) for i, _ in rows} and root[400] == 7
+    assert 90 <= told[0].count() <= 400  # of some 30,000
+    told[0].unpersist()
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=300), st.integers(6, 12))
+@settings(max_examples=100, deadline=None)
+def test_packed_shingles_come_back(tokens, bits):
+    tokens = tokens + tokens[:3] + [tokens[0] ^ 1, 0, 2**64 - 1]
+    got = [(bucket << 32) | int(k) for bucket, data in jaccard_join.packed(np.array(tokens, np.uint64), bits) for k in jaccard_join.unpacked(data)]
+    assert got == sorted(t >> (32 - bits) for t in tokens)
+
+
 @given(st.lists(st.integers(0, 60), min_size=1, max_size=40), st.lists(st.integers(0, 60), min_size=1, max_size=40), st.integers(0, 5))
 @settings(max_examples=200, deadline=None)
 def test_prefixes_of_similar_sets_share_enough(a, b, seed):
