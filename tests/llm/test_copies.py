@@ -209,6 +209,24 @@ def test_shingles_of_one_class_are_not_shuffled(spark, monkeypatch):
     told[0].unpersist()
 
 
+def test_passages_shared_with_many_bring_few_texts_together(spark, monkeypatch):
+    """Nine texts of eight passages, each shared with another one of them: enough in all, too little with any."""
+    rng = random.Random(13)
+    passage = {(i, j): prose(rng, 30, 10**6) for i in range(9) for j in range(i)}
+    rows = [(i, " ".join(passage[max(i, j), min(i, j)] for j in range(9) if j != i)) for i in range(9)]
+    rows.append((20, rows[4][1] + " more"))
+    told, true = [], jaccard_join.ball_links
+
+    def counted(balls, *a):
+        told.extend(r["doc_id"] for r in balls.collect())
+        return true(balls, *a)
+
+    monkeypatch.setattr(jaccard_join, "ball_links", counted)
+    out = jaccard_join.jaccard_components(documents(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == jaccard_brute(rows)[1] == {i: 4 if i == 20 else i for i, _ in rows}
+    assert {4, 20} <= set(told) and len(set(told)) <= 6
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=300), st.integers(6, 12))
 @settings(max_examples=100, deadline=None)
 def test_packed_shingles_come_back(tokens, bits):
